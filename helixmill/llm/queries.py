@@ -5,21 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import bpe, embedding_dedup, mixing, nearest, secret_scan, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.links(_read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix(_read(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return mix.orderBy("finish", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_decode(_read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.rate(docs, toxicity.train(docs, _read(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_simhash_dedup,)}
+    return {f.__name__: f for f in (op2_embedding_dedup, op3_source_mix, op4_bpe, op5_nearest, op6_toxicity, op7_secret_scan, op9_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_embedding_dedup": embedding_dedup.ORACLE, "op3_source_mix": mixing.ORACLE, "op7_secret_scan": secret_scan.oracle()}
