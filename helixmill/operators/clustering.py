@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Params
+from .pieces import fold
 
 KEY = ["chrom_a", "chrom_b", "strand_a", "strand_b"]
 
@@ -59,14 +60,14 @@ def cluster(points: DataFrame, params: Params = DEFAULT, order: list[str] | None
     many = cut_at_gaps(many, [*KEY, "__p1"], "pos_b", cutoff, "__p2")
     columns = points.columns
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        found = first_fit(pdf["pos_a"].to_numpy(), pdf["pos_b"].to_numpy(), cutoff)
-        pdf["cluster"] = [f"{a}.{b}.{c}" for a, b, c in zip(pdf["__p1"], pdf["__p2"], found)]
+    def number(pdf: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
+        a, b = pdf["pos_a"].to_numpy(), pdf["pos_b"].to_numpy()
+        found = np.concatenate([first_fit(a[s:e], b[s:e], cutoff) for s, e in groups])
+        pdf["cluster"] = [f"{x}.{y}.{z}" for x, y, z in zip(pdf["__p1"], pdf["__p2"], found)]
         return pdf[[*columns, "cluster"]]
 
     schema = points.select(*columns).withColumn("cluster", F.lit("")).schema
-    return many.groupBy(*KEY, "__p1", "__p2").applyInPandas(fold, schema).unionByName(few.select(*columns, "cluster"))
+    return fold(many, [*KEY, "__p1", "__p2"], order, number, schema).unionByName(few.select(*columns, "cluster"))
 
 
 def summarise(clusters: DataFrame, least: int = 1) -> DataFrame:
@@ -139,15 +140,17 @@ def call_breakpoints(clusters: DataFrame, params: Params = DEFAULT, least: int |
     order = order or ["read_id", "pos_a", "pos_b"]
     least = params.min_cluster if least is None else least
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        key = [pdf[c].iloc[0] for c in (*KEY, "cluster")]
+    def run(pdf: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
         a, b, g = (pdf[c].tolist() for c in ("pos_a", "pos_b", "gap"))
-        found = peel(a, b, g, (key[2], key[3]), least, params.match_cutoff)
-        return pd.DataFrame([(*key, k, x, y, len(got)) for k, (x, y, got) in enumerate(found) if len(got) >= least], columns=[*KEY, "cluster", "call", "pos_a", "pos_b", "support"])
+        keys = pdf[[*KEY, "cluster"]].to_numpy()
+        out = []
+        for s, e in groups:
+            found = peel(a[s:e], b[s:e], g[s:e], (keys[s][2], keys[s][3]), least, params.match_cutoff)
+            out += [(*keys[s], k, x, y, len(got)) for k, (x, y, got) in enumerate(found) if len(got) >= least]
+        return pd.DataFrame(out, columns=[*KEY, "cluster", "call", "pos_a", "pos_b", "support"])
 
     schema = "chrom_a string, chrom_b string, strand_a string, strand_b string, cluster string, call int, pos_a long, pos_b long, support long"
-    return clusters.groupBy(*KEY, "cluster").applyInPandas(run, schema)
+    return fold(clusters, [*KEY, "cluster"], order, run, schema)
 
 
 def centres(clusters: DataFrame, cutoff: float) -> DataFrame:
@@ -180,16 +183,18 @@ def min_cluster_size(normal_cov: float, params: Params = DEFAULT) -> int:
 def merge_calls(calls: DataFrame, distance: int = 200) -> DataFrame:
     """Calls of a key nearer than `distance` on both axes become one, with their supports added."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cluster", "call"], kind="stable")
-        out: list[list] = []
-        for r in pdf.itertuples(index=False):
-            near = next((x for x in out if abs(x[4] - r.pos_a) < distance and abs(x[5] - r.pos_b) < distance), None)
-            if near is None:
-                out.append([r.chrom_a, r.chrom_b, r.strand_a, r.strand_b, r.pos_a, r.pos_b, r.support])
-            else:
-                near[6] += r.support
+    def merge(pdf: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
+        rows, out = pdf[[*KEY, "pos_a", "pos_b", "support"]].values.tolist(), []
+        for s, e in groups:
+            kept: list[list] = []
+            for r in rows[s:e]:
+                near = next((x for x in kept if abs(x[4] - r[4]) < distance and abs(x[5] - r[5]) < distance), None)
+                if near is None:
+                    kept.append(r)
+                else:
+                    near[6] += r[6]
+            out += kept
         return pd.DataFrame(out, columns=[*KEY, "pos_a", "pos_b", "support"])
 
     cut = cut_at_gaps(cut_at_gaps(calls, KEY, "pos_a", distance, "__p1"), [*KEY, "__p1"], "pos_b", distance, "__p2")
-    return cut.groupBy(*KEY, "__p1", "__p2").applyInPandas(fold, "chrom_a string, chrom_b string, strand_a string, strand_b string, pos_a long, pos_b long, support long")
+    return fold(cut, [*KEY, "__p1", "__p2"], ["cluster", "call"], merge, "chrom_a string, chrom_b string, strand_a string, strand_b string, pos_a long, pos_b long, support long")

@@ -5,6 +5,8 @@ A path is an array of strings: the edge types and numbers it passes, e.g. e1, c1
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,29 +27,33 @@ def edge_counts(path: Column) -> Column:
     return F.transform(F.array_sort(F.array_distinct(path)), lambda e: F.struct(e.alias("edge"), F.size(F.filter(path, lambda x: x == e)).alias("n")))
 
 
-def support(paths: DataFrame) -> DataFrame:
-    """(path, support): number of reads of (read_id, path) for each path up to reversal."""
-    return paths.groupBy(canonical(F.col("path")).alias("path")).agg(F.count("*").alias("support"))
+def support(paths: DataFrame, *by: str) -> DataFrame:
+    """(by, path, support): number of reads of (by, read_id, path) for each path up to reversal."""
+    return paths.groupBy(*by, canonical(F.col("path")).alias("path")).agg(F.count("*").alias("support"))
 
 
-def maximal(supported: DataFrame) -> DataFrame:
-    """(path_id, support): paths whose edges, with multiplicity, are no sub-multiset of another path's.
+def maximal(supported: DataFrame, group: str = "amplicon_id") -> DataFrame:
+    """(group, path, support): paths of a group whose edges, with multiplicity, are no sub-multiset of another path's.
 
-    Equal multisets leave the one of smallest id; a dropped path raises its container's support to its own if that is
-    larger. Containers are found by an inverted index on each path's rarest edge, then counted edge by edge.
+    Paths are tried from the last to the first, in text order; a path that goes lifts the first path that holds it to its
+    own support if that is larger. One amplicon's distinct paths are one task: they are few, and containment needs all.
     """
-    edges = supported.select("path_id", F.inline(edge_counts(F.col("path"))))
-    sizes = edges.groupBy("path_id").agg(F.count("*").alias("k"))
-    rarity = edges.groupBy("edge").agg(F.count("*").alias("df"))
-    probe = edges.join(rarity, "edge").groupBy("path_id").agg(F.min_by("edge", F.struct("df", "edge")).alias("edge"))
-    cand = probe.join(edges.select("edge", F.col("path_id").alias("in_id")), "edge").where(F.col("path_id") != F.col("in_id")).select("path_id", "in_id")
-    need = cand.join(edges, "path_id")
-    have = edges.select(F.col("path_id").alias("in_id"), "edge", F.col("n").alias("have"))
-    met = need.join(have, ["in_id", "edge"]).where(F.col("have") >= F.col("n")).groupBy("path_id", "in_id").agg(F.count("*").alias("met"))
-    inside = met.join(sizes, "path_id").where(F.col("met") == F.col("k")).select("path_id", "in_id")
-    back = inside.select(F.col("in_id").alias("path_id"), F.col("path_id").alias("in_id"))
-    twins = inside.join(back, ["path_id", "in_id"], "left_semi")
-    drops = inside.join(twins, ["path_id", "in_id"], "left_anti").select("path_id").union(twins.where(F.col("path_id") > F.col("in_id")).select("path_id")).distinct()
-    kept = supported.select("path_id", "support").join(drops, "path_id", "left_anti")
-    lifted = inside.join(supported.select("path_id", F.col("support").alias("own")), "path_id").groupBy(F.col("in_id").alias("path_id")).agg(F.max("own").alias("inner"))
-    return kept.join(lifted, "path_id", "left").select("path_id", F.greatest("support", "inner").alias("support"))
+    kind = supported.schema[group].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(text=[",".join(p) for p in pdf["path"]]).sort_values("text", kind="stable")
+        edges = {e: k for k, e in enumerate(sorted({e for p in pdf["path"] for e in p}))}
+        counts = np.zeros((len(pdf), len(edges)), dtype=np.int32)
+        for row, path in enumerate(pdf["path"]):
+            np.add.at(counts[row], [edges[e] for e in path], 1)
+        support, alive = pdf["support"].to_numpy().copy(), np.ones(len(pdf), dtype=bool)
+        for row in range(len(pdf) - 1, -1, -1):
+            holds = alive & (counts >= counts[row]).all(axis=1)
+            holds[row] = False
+            if holds.any():
+                parent = int(holds.argmax())
+                support[parent] = max(support[parent], support[row])
+                alive[row] = False
+        return pd.DataFrame({group: pdf[group].to_numpy()[alive], "path": pdf["text"].to_numpy()[alive], "support": support[alive]})
+
+    return supported.groupBy(group).applyInPandas(run, f"{group} {kind}, path string, support long")

@@ -72,8 +72,8 @@ def graph_stats(spark, sf_dir):
 
 @query(f"""WITH {CALLS},
 joint AS (SELECT DISTINCT chrom, cut AS p1, cut + 1 AS p2 FROM cuts),
-probe AS (SELECT chrom, p1, p2, UNNEST([p1, p2, p1 - 101, p2 + 100]) AS at, UNNEST([0, 1, 2, 3]) AS k FROM joint),
-full_ AS (SELECT p.chrom, p1, p2, read_id FROM probe p JOIN aln a ON a.chrom = p.chrom AND r_start <= at AND r_end > at GROUP BY ALL HAVING COUNT(DISTINCT k) = 4),
+probe AS (SELECT chrom, p1, p2, UNNEST([p1, p2, p1 - 101, p2 + 100]) AS pp, UNNEST([0, 1, 2, 3]) AS k FROM joint),
+full_ AS (SELECT p.chrom, p1, p2, read_id FROM probe p JOIN aln a ON a.chrom = p.chrom AND r_start <= pp AND r_end > pp GROUP BY p.chrom, p1, p2, read_id HAVING COUNT(DISTINCT k) = 4),
 used AS (SELECT read_id, chrom_a AS chrom, pos_a AS pos FROM bp UNION SELECT read_id, chrom_b, pos_b FROM bp),
 good AS (SELECT * FROM full_ f WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.read_id = f.read_id AND u.chrom = f.chrom AND u.pos IN (f.p1, f.p2)))
 SELECT j.chrom, p1 AS pos1, p2 AS pos2, COUNT(read_id) AS reads FROM joint j LEFT JOIN good USING (chrom, p1, p2) GROUP BY ALL""")

@@ -35,9 +35,9 @@ def path_validity(spark, sf_dir):
 
 @query()
 def path_maximal(spark, sf_dir):
-    s = paths.support(read_paths(spark, sf_dir).where(paths.is_valid(F.col("path"))))
-    rows = s.select(F.array_join("path", ",").alias("path_id"), "path", "support")
-    return paths.maximal(rows).select(F.col("path_id").alias("path"), "support")
+    own = t.walk_info(spark, sf_dir).select(F.col("cycle_id").alias("read_id"), "amplicon_id")
+    valid = read_paths(spark, sf_dir).where(paths.is_valid(F.col("path"))).join(own, "read_id")
+    return paths.maximal(paths.support(valid, "amplicon_id"))
 
 
 MERGED = t.WALKS + """,
