@@ -38,7 +38,7 @@ def principal_axes(points: DataFrame, vector: str, key: str) -> np.ndarray:
     """Leading principal axes (as rows) of the unit vectors, from the AXES_ROWS rows of smallest key."""
     rows = points.select(key, vector).orderBy(F.xxhash64(key), key).limit(AXES_ROWS).collect()
     if not rows:
-        return np.zeros((0, 1))
+        return np.zeros((1, 1))
     width = max(len(r[1]) for r in rows)
     x = np.zeros((len(rows), width))
     for k, r in enumerate(rows):

@@ -121,7 +121,8 @@ def fit(bags: list[tuple[str, np.ndarray]], toxic: list[int]) -> Model:
     del made
     rows, cols = np.repeat(np.arange(n, dtype=np.int32), [len(k) for k in keys]), np.concatenate(keys)
     amount, width = np.concatenate(amounts), len(number)
-    common = np.bincount(cols, minlength=width) >= MIN_ROWS_OF_TERM
+    held = np.bincount(cols, minlength=width)
+    common = (held >= MIN_ROWS_OF_TERM) & (held <= n / 2)  # a term of most documents tells nothing of one
     rows, cols, amount = rows[common[cols]], cols[common[cols]], amount[common[cols]]
     both = values(amount, lengths[rows])
     grade = grades(rows, cols, y, width)
@@ -141,8 +142,8 @@ def fit(bags: list[tuple[str, np.ndarray]], toxic: list[int]) -> Model:
     dense = np.zeros((n, 2 * len(chosen)))
     for k, x in enumerate(both):
         dense[rows[own], place[cols[own]] + k * len(chosen)] = x[own]
-    scale = dense.std(0)
-    dense /= scale
+    scale, centre = dense.std(0), dense.mean(0)
+    dense = (dense - centre) / scale
     levels = [k for k in range(1, 4) if (grade >= k).any()]
     targets = np.stack([(grade >= k).astype(float) for k in levels])
     theta = -np.log(targets.mean(1) / (1 - targets.mean(1)))
@@ -159,6 +160,7 @@ def fit(bags: list[tuple[str, np.ndarray]], toxic: list[int]) -> Model:
         w, theta, u = after, moved, nxt
     pairs = (w / scale).reshape(2, -1)
     keep = np.flatnonzero(pairs.any(0))
+    theta = theta + centre @ (w / scale)
     return Model({str(names[k]): (float(pairs[0, k]), float(pairs[1, k])) for k in keep}, [float(t) for t in theta])
 
 

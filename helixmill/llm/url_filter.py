@@ -3,7 +3,7 @@
 Two smoothed variable-order Markov models (Witten-Bell interpolation over contexts of up to ORDER - 1 characters) are
 fitted on URLs that rules accept and reject: at most FIT_ROWS distinct ones of each, by digest. A URL's score is the
 difference of its log-likelihoods divided by its length; the threshold is the one of best balanced accuracy on a fifth of
-the fitted URLs that is held out.
+the fitted URLs that is held out, in the middle between two scores.
 
 A string is scored through its substrings: one join gives for each (position, length) the log-probability of the
 substring as a gram and the log back-off weight as a context. The probability at a position is that of its longest known
@@ -129,7 +129,8 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...], id_col: str = "page_id",
         known = durable(score(sample.where(held).select("rest").distinct(), model).join(sample, "rest"), "held-out")  # at most 2 * FIT_ROWS rows
         up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
         below = [F.sum((F.col("y") == y).cast("int")).over(up) for y in (0, 1)]
-        ends = known.select("score", below[0].alias("b0"), below[1].alias("b1"))
+        middle = (F.col("score") + F.coalesce(F.lead("score").over(Window.orderBy("score")), F.col("score"))) / 2
+        ends = known.select(middle.alias("score"), below[0].alias("b0"), below[1].alias("b1"))
         n = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
         good = F.col("b0") / F.lit(max(1, n.get(0, 0))) + 1 - F.col("b1") / F.lit(max(1, n.get(1, 0)))
         best = ends.select(F.max_by("score", F.struct(good, -F.abs("score"))).alias("t")).first()
