@@ -119,7 +119,7 @@ def order_walks(edges: DataFrame, passes: DataFrame) -> DataFrame:
 def compare_cycles(cycles: DataFrame, truth: DataFrame, group: str = "amplicon_id") -> DataFrame:
     """(group, cycle_id, overlap, overlap_share, triplets) of each cycle with the true one of its group.
 
-    Cycles and truth: (group, cycle_id, ord, chrom, start, end, strand), ends not included. Segments are cut at all ends of
+    Cycles: (group, cycle_id, ord, chrom, start, end, strand), ends not included; truth has the same with the prefix true_. Segments are cut at all ends of
     both, so the order of common pieces is compared; the share is of the total length of both, each piece at its larger count.
     """
 
@@ -134,7 +134,7 @@ def compare_cycles(cycles: DataFrame, truth: DataFrame, group: str = "amplicon_i
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         read = lambda df: list(df.sort_values("ord")[["chrom", "start", "end", "strand"]].itertuples(index=False, name=None))
-        true = read(right) if len(right) else []
+        true = read(right.rename(columns=lambda c: c.removeprefix("true_"))) if len(right) else []
         for cycle_id, one in left.groupby("cycle_id"):
             own = read(one)
             points: dict[str, set] = {}
@@ -150,7 +150,7 @@ def compare_cycles(cycles: DataFrame, truth: DataFrame, group: str = "amplicon_i
             rows.append((key[0], cycle_id, int(best), round(best / total, 9) if total else 0.0, round(compare.triplet_share(true, own), 9)))
         return pd.DataFrame(rows, columns=[group, "cycle_id", "overlap", "overlap_share", "triplets"])
 
-    return cycles.groupBy(group).cogroup(truth.groupBy(group)).applyInPandas(run, f"{group} long, cycle_id long, overlap long, overlap_share double, triplets double")
+    return cycles.groupBy(group).cogroup(truth.groupBy(f"true_{group}")).applyInPandas(run, f"{group} long, cycle_id long, overlap long, overlap_share double, triplets double")
 
 
 def legality(edges: DataFrame, segments: DataFrame) -> DataFrame:

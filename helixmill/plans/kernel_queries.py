@@ -72,7 +72,8 @@ def _true_cycles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     heaviest = info.withColumn("r", F.row_number().over(Window.partitionBy("amplicon_id").orderBy(F.desc("weight"), "cycle_id"))).where("r = 1")
     rows = t.walks(spark, sf_dir).withColumn("end", F.col("end") + 1)
     every = rows.join(info.select("cycle_id", "amplicon_id"), "cycle_id")
-    return every, rows.join(heaviest.select("cycle_id", "amplicon_id"), "cycle_id")
+    truth = rows.join(heaviest.select("cycle_id", "amplicon_id"), "cycle_id")
+    return every, truth.toDF(*[f"true_{c}" for c in truth.columns])  # own names: both sides come from one table
 
 
 @query()
