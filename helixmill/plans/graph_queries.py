@@ -132,3 +132,20 @@ SELECT a.amplicon_id AS interval_id, a.chrom, CASE WHEN l.chrom IS NOT NULL THEN
 FROM amp a LEFT JOIN seg l ON l.chrom = a.chrom AND a.s - 100000 BETWEEN l.seg_start AND l.seg_end LEFT JOIN seg r ON r.chrom = a.chrom AND a.e + 100000 BETWEEN r.seg_start AND r.seg_end""")
 def seed_widening(spark, sf_dir):
     return expand.widen(t.intervals(spark, sf_dir).drop("amplicon_id"), t.cn_segments(spark, sf_dir))
+
+
+NUMBERED = CALLS + """,
+num AS (SELECT amplicon_id, chrom, a, b, ROW_NUMBER() OVER (PARTITION BY amplicon_id ORDER BY a) AS k FROM sequence),
+rng AS (SELECT read_id, q_start, r_start, x.chrom, x.strand, x.nm_rate, x.mapq, x.q_end, amplicon_id, MIN(k) AS lo, MAX(k) AS hi FROM aln x JOIN num ON num.chrom = x.chrom AND r_start <= b AND r_end > a
+        WHERE LEAST(r_end - 1, b) - GREATEST(r_start, a) + 1 >= 20 AND b - a + 1 >= 20 AND mapq >= 20 GROUP BY ALL)"""
+
+
+@query(f"""WITH {NUMBERED} SELECT amplicon_id, 'e' || lo AS first, 'e' || hi AS last, CAST(2 * (hi - lo) + 1 AS INT) AS n, COUNT(*) AS support FROM rng WHERE hi - lo >= 2 GROUP BY ALL""")
+def concordant_paths(spark, sf_dir):
+    from ..operators import readpaths
+
+    seq = readpaths.number_edges(graph.sequence_edges(whole(spark, sf_dir), cuts(spark, sf_dir)))
+    ids = ["read_id", "q_start", "q_end", "r_start_id", "strand", "nm_rate"]
+    a = t.alignments(spark, sf_dir).withColumn("r_start_id", F.col("r_start")).withColumn("chrom_id", F.col("chrom"))
+    p = readpaths.concordant_paths(a, seq, [*ids, "chrom_id"], least=20)
+    return p.groupBy("amplicon_id", F.element_at("path", 1).alias("first"), F.element_at("path", -1).alias("last"), F.size("path").alias("n")).agg(F.count("*").alias("support"))

@@ -189,3 +189,16 @@ def test_hsr_needs_one_end_inside(spark):
     amp = spark.createDataFrame([("c", 0, 100)], "chrom string, start long, end long")
     seg = spark.createDataFrame([("d", 0, 9999, 2.0)], "chrom string, seg_start long, seg_end long, cn double")
     assert rows(hsr.sites(b, amp, seg, least=3)) == [("d", 7000, 3)]
+
+
+def test_read_paths(spark):
+    from helixmill.operators import readpaths
+
+    seq = readpaths.number_edges(spark.createDataFrame([(1, "c", k * 1000, k * 1000 + 999) for k in range(5)], "amplicon_id long, chrom string, start long, end long"))
+    a = spark.createDataFrame([(1, "c", 400, 3600, 60), (2, "c", 600, 2600, 60), (3, "c", 600, 2400, 60), (4, "c", 0, 5000, 5)], "read_id long, chrom string, r_start long, r_end long, mapq int")
+    got = rows(readpaths.concordant_paths(a, seq, ["read_id"]).select("read_id", F.array_join("path", ",")))
+    assert got == [(1, "e1,c1,e2,c2,e3,c3,e4")]
+    s = "read_id long, amplicon_id long, i int, d_idx long, a_idx long, b_idx long, strand1 string, strand2 string, lo1 long, hi1 long, lo2 long, hi2 long"
+    steps = spark.createDataFrame([(1, 1, 0, 1, 2, 4, "+", "+", 1, 2, 4, 5), (1, 1, 1, 2, 5, 3, "+", "-", 4, 5, 2, 3), (2, 1, 0, 1, 2, 2, "-", "+", 2, 4, 2, 3), (3, 1, 0, 1, 2, 4, "+", "+", 1, 2, 4, 4), (3, 1, 1, 1, 4, 4, "+", "+", 4, 4, 4, 4)], s)
+    got = rows(readpaths.breakpoint_paths(steps).select("read_id", F.array_join("path", ",")))
+    assert got == [(1, "e1,c1,e2,d1,e4,c4,e5,d2,e3,c2,e2"), (2, "e4,c3,e3,c2,e2,d1,e2,c2,e3")]
