@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import durable, small_batches, tasks, usable
+from ._common import digest_sample, durable, small_batches, tasks, usable
 
 FIT_ROWS = 16_384
 LISTS = 256  # coarse centroids at most; one for about LIST_ROWS rows of the table
@@ -64,6 +64,13 @@ class Index:
         self.cuts = [c for c in np.array_split(np.arange(sample.shape[1]), min(PIECES, sample.shape[1]))]
         self.books = [_kmeans(rest[:, c], CODES, 8) for c in self.cuts]
 
+    @classmethod
+    def of(cls, parts: tuple) -> Index:
+        """From (centres, cuts, books): only arrays are broadcast."""
+        self = cls.__new__(cls)
+        self.centres, self.cuts, self.books = parts
+        return self
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lists = _nearest(x, self.centres)
         rest = x - self.centres[lists]
@@ -100,53 +107,72 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
     rows = rows.where(F.size("v") == usual[0].n)
     copies = _smallest(rows.select("id", "v").withColumn("h", F.xxhash64("v")), ["h", "v"], [F.col("id")], k + 1, F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     entries = durable(copies.groupBy("h", "v").agg(F.min("id").alias("entry"), F.sort_array(F.collect_list("id")).alias("ids")).select("entry", "ids", "v"), "entries")
-    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(FIT_ROWS).select("v").collect()
+    sample = digest_sample(entries.select("entry", "v"), F.xxhash64("entry"), FIT_ROWS, "entry").select("v").collect()
     n_entries = entries.count()
     n_lists = max(1, min(LISTS, n_entries // LIST_ROWS))
-    index = spark.sparkContext.broadcast(Index(np.array([r.v for r in sample], dtype=np.float64), n_lists))  # at most LISTS + PIECES * CODES rows
-    n_lists = len(index.value.centres)
+    fitted = Index(np.array([r.v for r in sample], dtype=np.float64), n_lists)
+    parts = spark.sparkContext.broadcast((fitted.centres, fitted.cuts, fitted.books))  # at most LISTS + CODES rows of a vector
+    n_lists = len(fitted.centres)
+    del fitted
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = Index.of(parts.value)
         for f in frames:
             if len(f):
-                lists, codes = index.value.encode(_matrix(f["v"]))
+                lists, codes = index.encode(_matrix(f["v"]))
                 yield pd.DataFrame({"list": lists.astype(np.int32), "entry": f["entry"], "codes": [c.tobytes() for c in codes]})
 
     coded = entries.select("entry", "v").mapInPandas(encode, "list int, entry long, codes binary")
     n_blocks = 1 + n_entries // (n_lists * BLOCK)
     slot = F.pmod(F.xxhash64("entry"), F.lit(n_blocks)).cast("int")
     blocks = coded.withColumn("block", slot).groupBy("list", "block").agg(F.sort_array(F.collect_list(F.struct("entry", "codes"))).alias("rows"))
-    blocks = durable(blocks.select("list", "rows.entry", "rows.codes"), "lists")  # blocks of about BLOCK rows
+    blocks = durable(blocks.select("list", "block", "rows.entry", "rows.codes"), "lists")  # blocks of about BLOCK rows
     asked = durable(rows.where("asks").select("id", "v").dropDuplicates(["id", "v"]), "queries")
     groups = 1 + asked.count() // QUERIES
 
     def shortlist(some: DataFrame, probes: int) -> DataFrame:
         def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            centres = parts.value[0]
             for f in frames:
                 if len(f):
                     x = _matrix(f["v"])
-                    d = _squares(x, index.value.centres)
+                    d = _squares(x, centres)
                     near = np.argsort(d, axis=1, kind="stable")[:, :probes]
                     yield pd.DataFrame({"list": near.ravel().astype(np.int32), "id": np.repeat(f["id"].to_numpy(), near.shape[1]), "v": [v for v in f["v"] for _ in range(near.shape[1])]})
 
         visits = some.mapInPandas(visit, f"list int, id long, v {some.schema['v'].dataType.simpleString()}")
         group = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
         visits = visits.withColumn("group", group).groupBy("list", "group").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("asks"))
-        work = visits.select("list", "asks.id", "asks.v").repartition(tasks(spark), "list", "id").join(blocks, "list")
+        work = visits.select("list", "group", "asks.id", "asks.v").join(blocks, "list").repartition(tasks(spark), "list", "group", "block")
 
         def rank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = Index.of(parts.value)
             for f in frames:
                 for r in f.itertuples(index=False):
                     codes = np.frombuffer(b"".join(r.codes), np.uint8).reshape(len(r.entry), -1)
-                    tables = index.value.tables(np.stack(r.v).astype(np.float64), r.list)
+                    tables = index.tables(np.stack(r.v).astype(np.float64), r.list)
                     near = sum(tables[:, p, :][:, codes[:, p]] for p in range(codes.shape[1]))
                     entry = np.asarray(r.entry)
                     top = np.argsort(near, axis=1, kind="stable")[:, :SHORTLIST]  # entries are in order: ties to the smaller
-                    ids = np.repeat(np.asarray(r.id), top.shape[1])
-                    yield pd.DataFrame({"id": ids, "entry": entry[top].ravel(), "near": np.take_along_axis(near, top, 1).ravel()})
+                    best = np.take_along_axis(near, top, 1)
+                    yield pd.DataFrame({"id": np.asarray(r.id), "salt": (r.list + 7 * r.block) % SALTS, "entry": list(entry[top]), "near": list(best)})
 
-        ranked = work.select("list", "id", "v", "entry", "codes").mapInPandas(rank, "id long, entry long, near double")
-        return _smallest(ranked, ["id"], [F.col("near"), F.col("entry")], SHORTLIST, F.pmod(F.xxhash64("entry"), F.lit(4))).select("id", "entry")
+        def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                out = []
+                for some in f["parts"]:
+                    entry, near = (np.concatenate([p[c] for p in some]) for c in ("entry", "near"))
+                    top = np.lexsort((entry, near))[:SHORTLIST]
+                    out.append((entry[top], near[top]))
+                if out:
+                    yield pd.DataFrame({"id": f["id"], "entry": [e for e, _ in out], "near": [d for _, d in out]})
+
+        row = "id long, entry array<long>, near array<double>"
+        best = work.select("list", "block", "id", "v", "entry", "codes").mapInPandas(rank, row.replace("id long", "id long, salt long"))
+        for by in (["id", "salt"], ["id"]):  # within salts first: a query's visits grow with its lists
+            met = best.groupBy(*by).agg(F.collect_list(F.struct("entry", "near")).alias("parts"))
+            best = met.select("id", "parts").mapInPandas(merge, row)
+        return best.select("id", F.explode("entry").alias("entry"))
 
     def exact(pairs: DataFrame) -> DataFrame:
         both = pairs.join(asked.withColumnRenamed("v", "q"), "id").join(entries, "entry")
