@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable, small_batches, usable
+from ._common import digest_sample, durable, small_batches, usable
 from ._links import close_pairs, compare_pairs, components, cut_blocks, local_roots, number_blocks
 
 AXES = 8
@@ -36,7 +36,7 @@ MARGIN = 1e-9  # closer to the threshold than this, the cosine is recomputed fro
 
 def principal_axes(points: DataFrame, vector: str, key: str) -> np.ndarray:
     """Leading principal axes (as rows) of the unit vectors, from the AXES_ROWS rows of smallest key."""
-    rows = points.select(key, vector).orderBy(F.xxhash64(key), key).limit(AXES_ROWS).collect()
+    rows = digest_sample(points.select(key, vector), F.xxhash64(key), AXES_ROWS, key).collect()
     if not rows:
         return np.zeros((1, 1))
     width = max(len(r[1]) for r in rows)

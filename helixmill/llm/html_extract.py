@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches
+from ._common import digest_sample, small_batches
 
 FIT_PAGES = 300
-TREES, DEPTH, RATE, BINS = 30, 4, 0.3, 32
+TREES, DEPTH, RATE, BINS = 60, 4, 0.3, 32
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -293,6 +293,15 @@ def layout(blocks: list[str], other: list[str], pick: random.Random) -> str:
     return f"<html><head><title>{words(5)}</title></head><body>{''.join(parts)}</body></html>"
 
 
+def short_layout(blocks: list[str], pick: random.Random) -> str:
+    """A page of a few short blocks and little else, its main element not always closed."""
+    hold = pick.choice(["article", "main", 'div class="content"', "article"])
+    some = [" ".join(b.split()[: pick.randint(1, 8)]) for b in blocks[: pick.randint(1, 4)]]
+    body = f"<h1>{MARK}{some[0]}</h1>" + "".join(f"<p>{MARK}{b}" + pick.choice(["</p>", ""]) for b in some[1:])
+    end = pick.choice([f"</{hold.split()[0]}>", f"</{hold.split()[0]}><footer>{some[0]}</footer>", ""])
+    return pick.choice(["", "<nav><a href='/'>x</a></nav>"]) + f"<{hold}>{body}{end}"
+
+
 def fit(pages: list[str]) -> Trees | None:
     """Boosted trees from pages with an article or main element and a second layout of each."""
     real = Nodes()
@@ -309,6 +318,8 @@ def fit(pages: list[str]) -> Trees | None:
     everything = [b for x in blocks.values() for b in x]
     for x in blocks.values():
         made.add(layout(x[:40], everything, pick))
+        if pick.random() < 0.5:
+            made.add(short_layout(x, pick))
     b = made.arrays()
     made_leaf = np.array([t is not None and t.startswith(MARK) for t in made.texts], dtype=bool)
     b["chars"] = b["chars"] - made_leaf
@@ -332,8 +343,10 @@ def main_texts(pages: list[str | None], trees: Trees | None) -> list[str]:
 
 def train(pages: DataFrame, html_col: str = "html", rows: int = FIT_PAGES) -> Trees | None:
     """Fit on at most `rows` pages, those of smallest digest; only these reach the driver."""
-    sample = pages.where(F.length(html_col) > 0).select(F.col(html_col).alias("html")).orderBy(F.xxhash64("html"), "html").limit(rows)
-    return fit([r.html for r in sample.collect()])
+    digests = pages.where(F.col(html_col) != "").select(F.xxhash64(html_col).alias("h")).distinct()
+    chosen = digest_sample(digests, F.col("h"), rows)  # at most `rows` longs: broadcast
+    sample = pages.select(F.col(html_col).alias("html")).withColumn("h", F.xxhash64("html")).join(F.broadcast(chosen), "h")
+    return fit([r.html for r in sample.dropDuplicates(["h"]).orderBy("h").collect()])
 
 
 def extract(pages: DataFrame, trees: Trees | None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

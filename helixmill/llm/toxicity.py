@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches
+from ._common import digest_sample, small_batches
 
-FIT_ROWS = 5000
+FIT_ROWS = 3000
 MIN_ROWS_OF_TERM = 5
 SIGMAS = 8.0
 PENALTY = 2e-3
 STEPS = 800
-PREFIXES = (3, 4, 5, 6, 7)
+PREFIXES = (3, 5, 7)
 KNOWN = 200_000
 REJECT = 0.5
 EDGES = "\"'`.,;:!?()[]{}<>|/\\*&%$#@~^_=+-«»“”„‘’…–—"
@@ -108,7 +108,7 @@ def fit(bags: list[tuple[str, np.ndarray]], toxic: list[int]) -> Model:
         return Model()
     number: dict[str, int] = {}
     made: dict[str, list[int]] = {}
-    keys, amounts, n, lengths = [], [], len(y), np.array([c.sum() for _, c in bags], dtype=float)
+    keys, amounts, n, lengths = [], [], len(y), np.array([c.sum() for _, c in bags], dtype=np.float32)
     for row, (words, counts) in enumerate(bags):
         one: Counter = Counter()
         for w, c in zip(words.split(" "), counts.tolist()):
@@ -118,13 +118,14 @@ def fit(bags: list[tuple[str, np.ndarray]], toxic: list[int]) -> Model:
                 one[t] += c
         keys.append(np.fromiter(one.keys(), np.int32, len(one)))
         amounts.append(np.fromiter(one.values(), np.float32, len(one)))
-    del made
+    del made, bags
     rows, cols = np.repeat(np.arange(n, dtype=np.int32), [len(k) for k in keys]), np.concatenate(keys)
     amount, width = np.concatenate(amounts), len(number)
+    del keys, amounts
     held = np.bincount(cols, minlength=width)
     common = (held >= MIN_ROWS_OF_TERM) & (held <= n / 2)  # a term of most documents tells nothing of one
     rows, cols, amount = rows[common[cols]], cols[common[cols]], amount[common[cols]]
-    both = values(amount, lengths[rows])
+    both = values(amount, lengths[rows].astype(np.float32))
     grade = grades(rows, cols, y, width)
     strong = np.zeros(width, dtype=bool)
     for x in both:  # terms whose covariance with the class is far from chance
@@ -168,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most `rows` labelled documents; only their bags of words reach the driver."""
     small_batches(docs.sparkSession)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).select(F.col(id_col).alias("id"), "toxic")
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(rows)  # at most `rows` slim rows: broadcast
+    chosen = digest_sample(chosen, F.xxhash64("id"), rows, "id")  # at most `rows` slim rows: broadcast
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

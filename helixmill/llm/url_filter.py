@@ -22,7 +22,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import durable, sized
+from ._common import digest_sample, durable, sized
 
 ORDER = 4
 FIT_ROWS = 20_000
@@ -120,7 +120,7 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...], id_col: str = "page_id",
     rows = durable(rows.withColumn("m", matching_rule(rules)).select("id", "rest", "host", "path", "m.rule", "m.verdict"), "urls")
     named = rows.where("verdict is not null and rest <> ''").select("rest", F.when(F.col("verdict") == "allow", 1).otherwise(0).alias("y")).distinct()
     by = F.xxhash64("rest")
-    sample = durable(named.where("y = 0").orderBy(by, "rest").limit(FIT_ROWS).union(named.where("y = 1").orderBy(by, "rest").limit(FIT_ROWS)), "known-urls")
+    sample = durable(digest_sample(named.where("y = 0"), by, FIT_ROWS, "rest").union(digest_sample(named.where("y = 1"), by, FIT_ROWS, "rest")), "known-urls")
     held = F.pmod(F.xxhash64(F.lit("held out"), "rest"), F.lit(5)) == 0
     of = sample.groupBy("y").agg(F.count("*"), F.sum((~held).cast("int"))).collect()
     open_ones = rows.where("verdict is null and rest <> ''").select("rest").distinct()
