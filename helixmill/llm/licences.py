@@ -31,6 +31,7 @@ from ._common import durable, sized, small_batches
 
 THRESHOLD = 0.6
 FILE_SHARE = 0.5
+KNOWN = 300_000  # words remembered in a task; more are looked up again
 #: Short notices in common use, by licence.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -70,7 +71,16 @@ class Scanner:
                 anchors.add(t)
                 rest -= w * w
         self.threshold, self.anchors = threshold, frozenset(anchors)
-        self.found = re.compile("|".join(sorted(map(re.escape, anchors), key=len, reverse=True)), re.I)
+        self.holds: dict[str, bool] = {}  # whether a word between white space holds an anchor
+
+    def words_with_anchor(self, text: str) -> set[str]:
+        """The words between white space of a lower-case text that hold an anchor; no term crosses white space."""
+        if len(self.holds) > KNOWN:
+            self.holds.clear()
+        words, holds = set(text.split()), self.holds
+        for w in words.difference(holds):
+            holds[w] = w in self.anchors if w.isalnum() and w.isascii() else not self.anchors.isdisjoint(TERM.findall(w))
+        return {w for w in words if holds[w]}
 
     def cosine(self, words: list[str]) -> tuple[float, int]:
         """Best cosine of a unit to a template, and the template."""
@@ -85,17 +95,18 @@ class Scanner:
 
     def scan(self, text: str | None) -> tuple[str | None, float, float]:
         """Licence, cosine and the share of the text's words in the unit that gave it."""
-        if not text or not self.found.search(text):
+        text = (text or "").lower()
+        some = self.words_with_anchor(text)
+        if not some:
             return None, 0.0, 0.0
         best, at, size = 0.0, -1, 0
         units = [text.split("\n"), [p for p in re.split(r"\n\s*\n", text) if "\n" in p.strip()], [text]]
         for unit in (u for kind in units for u in kind):
-            if self.found.search(unit):
+            if not some.isdisjoint(unit.split()):
                 words = terms(unit)
-                if self.anchors.intersection(words):
-                    c, k = self.cosine(words)
-                    if c > best:
-                        best, at, size = c, k, len(words)
+                c, k = self.cosine(words)
+                if c > best:
+                    best, at, size = c, k, len(words)
         if best < self.threshold:
             return None, best, 0.0
         return self.names[at], best, size / max(1, len(terms(text)))
