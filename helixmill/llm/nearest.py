@@ -4,6 +4,9 @@ Coarse centroids and the codebooks of the residuals are fitted on a bounded samp
 every row is indexed. A query visits its nearest lists, ranks what is in them by asymmetric distance tables (query
 against codes), and the best of these are ranked again by the exact distance of the original vectors.
 
+How many lists are visited is measured at the table's own size: a sample of the queries is compared with every entry,
+and as many of the nearest lists are taken as hold the share RECALL of its true neighbours, PROBES at least.
+
 Exact copies share one entry, whose smallest ids are kept as far as any query can ask for them (k + 1), so copies don't
 crowd out others. Lists are cut into blocks and queries into groups, so a hot list is spread over tasks. A query that
 meets fewer than k rows in its lists visits all lists instead, so it gets all candidates if there are fewer.
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +31,9 @@ from ._common import digest_sample, durable, small_batches, tasks, usable
 FIT_ROWS = 16_384
 LISTS = 256  # coarse centroids at most; one for about LIST_ROWS rows of the table
 LIST_ROWS = 64
-PROBES = 32
+PROBES = 32  # lists visited at least
+RECALL = 0.99  # share of the sampled queries' true neighbours that the visited lists must hold
+SAMPLED = 256  # queries compared with every entry
 PIECES = 16
 CODES = 256
 SHORTLIST = 200
@@ -94,6 +100,36 @@ def _smallest(rows: DataFrame, key: list[str], order: list[Column], n: int, salt
     return rows.drop("salt", "at")
 
 
+def _probes(entries: DataFrame, asks: np.ndarray, centres: Broadcast, k: int) -> int:
+    """The least number of nearest lists that hold the share RECALL of the sampled queries' k nearest other entries."""
+    own = {x.tobytes(): q for q, x in enumerate(asks)}
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, lists = np.full((len(asks), k), np.inf), np.full((len(asks), k), -1)
+        for f in frames:
+            if len(f):
+                x = _matrix(f["v"]) + 0.0
+                d = _squares(asks, x)
+                for row, v in enumerate(x):
+                    if (q := own.get(v.tobytes())) is not None:
+                        d[q, row] = np.inf
+                d = np.concatenate([best, d], axis=1)
+                of = np.concatenate([lists, np.broadcast_to(_nearest(x, centres.value[0]), (len(asks), len(x)))], axis=1)
+                top = np.argpartition(d, k - 1, axis=1)[:, :k]
+                best, lists = np.take_along_axis(d, top, 1), np.take_along_axis(of, top, 1)
+        q, at = np.nonzero(np.isfinite(best))
+        yield pd.DataFrame({"q": q, "d": best[q, at], "list": lists[q, at]})
+
+    found = entries.select("v").mapInPandas(nearest, "q long, d double, list long")
+    first = F.row_number().over(Window.partitionBy("q").orderBy("d", "list"))
+    true = found.withColumn("at", first).where(F.col("at") <= k).select("q", "list").toPandas()  # at most SAMPLED * k rows
+    if true.empty:
+        return 1
+    place = np.argsort(np.argsort(_squares(asks, centres.value[0]), axis=1, kind="stable"), axis=1)
+    needed = np.sort(place[true["q"].to_numpy(), true["list"].to_numpy()])
+    return int(needed[int(np.ceil(RECALL * len(needed))) - 1]) + 1
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which the condition holds, itself excepted."""
     spark = vectors.sparkSession
@@ -129,6 +165,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
     blocks = durable(blocks.select("list", "block", "rows.entry", "rows.codes"), "lists")  # blocks of about BLOCK rows
     asked = durable(rows.where("asks").select("id", "v").dropDuplicates(["id", "v"]), "queries")
     groups = 1 + asked.count() // QUERIES
+    some = digest_sample(asked.select("id", "v"), F.xxhash64("id"), SAMPLED, "id", "v").select("v").distinct().collect()
+    probes = min(PROBES, n_lists)
+    if some and n_lists > probes:
+        probes = max(probes, _probes(entries, np.array([r.v for r in some], dtype=np.float64) + 0.0, parts, k))
 
     def shortlist(some: DataFrame, probes: int) -> DataFrame:
         def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,9 +220,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
         each = both.select("id", F.sqrt(square).alias("score"), F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("id"))
         return each.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
 
-    first = durable(exact(shortlist(asked, min(PROBES, n_lists))), "found")
+    first = durable(exact(shortlist(asked, probes)), "found")
     full = first.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     short = durable(asked.join(full, "id", "left_anti"), "short")
-    if n_lists > PROBES and short.limit(1).count():
+    if n_lists > probes and short.limit(1).count():
         first = first.join(short.select("id").distinct(), "id", "left_anti").union(exact(shortlist(short, n_lists)).select(first.columns))
     return first.select(F.col("id").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -139,3 +139,20 @@ def test_nearest_has_all_candidates_and_exact_scores(spark, monkeypatch):
     few = df.where("vec_id in (0, 3, 7)")
     assert sorted((r.query_id, r.rank) for r in nearest.search(few, F.col("vec_id") == 0).collect()) == [(0, 1), (0, 2)]
     assert nearest.search(df.limit(0), F.col("vec_id") == 0).collect() == []
+
+
+def test_nearest_visits_as_many_lists_as_recall_needs(spark):
+    pick = np.random.default_rng(7)
+    x = pick.normal(size=(6000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert len(x) // nearest.LIST_ROWS > nearest.PROBES  # some lists may stay unvisited
+    found = {}
+    for r in nearest.search(df, F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 6000, 50):
+        d = ((x - x[q]).astype(np.float64) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10].tolist()) & found[q])
+    assert hits / 1200 >= 0.95
