@@ -1,13 +1,14 @@
 """URL filters: host and path rules, and for the rest a character language-model ratio, in DataFrame functions only.
 
 Two smoothed variable-order Markov models (Witten-Bell interpolation over contexts of up to ORDER - 1 characters) are
-fitted on URLs that rules accept and reject: at most FIT_ROWS distinct ones of each, by digest. A URL's score is the
-difference of its log-likelihoods divided by its length; the threshold is the one of best balanced accuracy on a fifth of
-the fitted URLs that is held out, in the middle between two scores.
+fitted on all distinct URLs that rules accept and reject but a fifth, which is held out. A URL's score is the difference
+of its log-likelihoods divided by its length; the threshold is the one of best balanced accuracy on all held-out URLs, in
+the middle between two scores.
 
 A string is scored through its substrings: one join gives for each (position, length) the log-probability of the
 substring as a gram and the log back-off weight as a context. The probability at a position is that of its longest known
-gram times the back-off weights of the longer known contexts. The table of grams is bounded by the sample.
+gram times the back-off weights of the longer known contexts. The table of grams
+grows with the URLs, as far as their characters allow.
 
 Defined cases: a null url, and one without `://`, have an empty host and path; the models judge what follows `://`, or
 the whole url without it; an empty or null url that no rule fits is blocked; if either class has no URL to learn from,
@@ -22,10 +23,10 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import digest_sample, durable, sized
+from ._common import durable, sized
 
 ORDER = 4
-FIT_ROWS = 20_000
+SCORES = 50_000  # distinct held-out scores a task of the threshold's running counts
 ALPHABET = 256  # characters the lowest order shares its last mass among
 
 
@@ -113,28 +114,45 @@ def score(rows: DataFrame, model: DataFrame) -> DataFrame:
     return at.select("rest", (logs[1] - logs[0]).alias("d")).groupBy("rest").agg((F.sum(F.round("d", 9).cast("decimal(30,9)")).cast("double") / F.length("rest")).alias("score"))
 
 
+def threshold(known: DataFrame) -> float:
+    """The score of best balanced accuracy over all of (score, y), in the middle between two scores; 0 without both classes.
+
+    Running counts go over slices of the scores first and over the slices' sums after, so no task has all scores.
+    """
+    of = lambda y: F.sum((F.col("y") == y).cast("long")).alias(f"n{y}")
+    at = durable(known.groupBy("score").agg(of(0), of(1)), "held-out")
+    total = at.agg(F.count("*").alias("n"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
+    if not total.n0 or not total.n1:
+        return 0.0
+    slices = 1 + total.n // SCORES
+    cuts = at.approxQuantile("score", [k / slices for k in range(1, slices)], 0.1 / slices) if slices > 1 else []
+    own = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col("score")))
+    at = durable(at.withColumn("slice", own), "held-out-slices")
+    w = Window.orderBy("slice")
+    before = [F.coalesce(F.sum(f"n{y}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"before{y}") for y in (0, 1)]
+    sums = at.groupBy("slice").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.min("score").alias("low"))
+    sums = durable(sums.select("slice", *before, F.lead("low").over(w).alias("beyond")), "slices")  # a row for each slice
+    w = Window.partitionBy("slice").orderBy("score")
+    below = [F.sum(f"n{y}").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"before{y}") for y in (0, 1)]
+    middle = (F.col("score") + F.coalesce(F.lead("score").over(w), "beyond", "score")) / 2
+    ends = at.join(sized(sums), "slice").select(middle.alias("score"), below[0].alias("b0"), below[1].alias("b1"))
+    good = F.col("b0") / F.lit(total.n0) + 1 - F.col("b1") / F.lit(total.n1)
+    return float(ends.select(F.max_by("score", F.struct(good, -F.abs("score"))).alias("t")).first().t)
+
+
 def judge(pages: DataFrame, rules: tuple[UrlRule, ...], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id_col, host, path, rule, verdict, score (null where a rule decides)."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     rows = rows.select("id", F.coalesce(rest_of("url"), "url", F.lit("")).alias("rest"), host_of("url").alias("host"), path_of("url").alias("path"))
     rows = durable(rows.withColumn("m", matching_rule(rules)).select("id", "rest", "host", "path", "m.rule", "m.verdict"), "urls")
     named = rows.where("verdict is not null and rest <> ''").select("rest", F.when(F.col("verdict") == "allow", 1).otherwise(0).alias("y")).distinct()
-    by = F.xxhash64("rest")
-    sample = durable(digest_sample(named.where("y = 0"), by, FIT_ROWS, "rest").union(digest_sample(named.where("y = 1"), by, FIT_ROWS, "rest")), "known-urls")
+    known = durable(named, "known-urls")
     held = F.pmod(F.xxhash64(F.lit("held out"), "rest"), F.lit(5)) == 0
-    of = sample.groupBy("y").agg(F.count("*"), F.sum((~held).cast("int"))).collect()
+    of = known.groupBy("y").agg(F.count("*"), F.sum((~held).cast("int"))).collect()
     open_ones = rows.where("verdict is null and rest <> ''").select("rest").distinct()
     if len(of) == 2 and all(r[2] for r in of):
-        model = fit(sample.where(~held))
-        known = durable(score(sample.where(held).select("rest").distinct(), model).join(sample, "rest"), "held-out")  # at most 2 * FIT_ROWS rows
-        up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-        below = [F.sum((F.col("y") == y).cast("int")).over(up) for y in (0, 1)]
-        middle = (F.col("score") + F.coalesce(F.lead("score").over(Window.orderBy("score")), F.col("score"))) / 2
-        ends = known.select(middle.alias("score"), below[0].alias("b0"), below[1].alias("b1"))
-        n = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-        good = F.col("b0") / F.lit(max(1, n.get(0, 0))) + 1 - F.col("b1") / F.lit(max(1, n.get(1, 0)))
-        best = ends.select(F.max_by("score", F.struct(good, -F.abs("score"))).alias("t")).first()
-        limit = float(best.t) if best.t is not None and len(n) == 2 else 0.0
+        model = fit(known.where(~held))
+        limit = threshold(score(known.where(held).select("rest").distinct(), model).join(known, "rest"))
         judged = score(open_ones, model).withColumn("own", F.when(F.col("score") > limit, "allow").otherwise("block"))
     else:
         judged = open_ones.select("rest", F.lit(None).cast("double").alias("score"), F.lit("allow").alias("own"))

@@ -236,6 +236,30 @@ def test_language_model_sums_to_one(spark):
     assert known <= 1 and model["ab"].w0 < 0 and model["ab"].w1 is None
 
 
+def test_language_models_learn_from_all_urls(spark, monkeypatch):
+    from helixmill.llm.queries import URL_RULES
+
+    monkeypatch.setattr(url_filter, "FIT_ROWS", 30, raising=False)
+    seen, fit = [], url_filter.fit
+    monkeypatch.setattr(url_filter, "fit", lambda rows: seen.append(rows.count()) or fit(rows))
+    rows = [(k, f"http://good{k}.example.com/fr/{k}") for k in range(200)] + [(200 + k, f"http://casino{k}.example.net/es/{k}") for k in range(200)] + [(900, "http://x.org/de/")]
+    url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES).collect()
+    assert 280 <= seen[0] <= 360  # four fifths of 400, by digest
+
+
+def test_url_threshold_over_slices(spark, monkeypatch):
+    pick = random.Random(5)
+    known = [(round(pick.gauss(0.4 * y, 0.5), 2), y) for y in (0, 1) for _ in range(300)]
+    df, scores = spark.createDataFrame(known, "score double, y int"), sorted({s for s, _ in known})
+    good = lambda t: sum(s <= t for s, y in known if not y) + sum(s > t for s, y in known if y)
+    ends = [(a + b) / 2 for a, b in zip(scores, [*scores[1:], scores[-1]])]
+    best = max(map(good, ends))
+    for n in (10, 50_000):
+        monkeypatch.setattr(url_filter, "SCORES", n)
+        assert good(url_filter.threshold(df)) == best
+    assert url_filter.threshold(df.where("y = 0")) == 0.0
+
+
 # HTML
 
 
