@@ -78,17 +78,49 @@ def as_graph(pdf: pd.DataFrame) -> walks.Graph:
     return walks.Graph([nodes[k] for k in seq], [float(pdf["length"].iloc[k]) for k in seq], [nodes[k] for k in rest], [cn[k] for k in [*seq, *rest]], bound, _end_nodes(nodes, kinds))
 
 
-def decompose(edges: DataFrame, mode: str = "greedy") -> DataFrame:
+def path_constraints(paths: DataFrame, sequence: DataFrame) -> DataFrame:
+    """(amplicon_id, path, EDGE, n): how often each path (amplicon_id, path as text) passes each edge, by its ends.
+
+    sequence: numbered sequence edges (readpaths.number_edges); c<k> joins e<k> to the piece that starts a base on.
+    """
+    c, name = F.col, lambda kind: F.concat(F.lit(kind), F.col("seq_idx").cast("string")).alias("edge")
+    e = sequence.select("amplicon_id", name("e"), F.lit("sequence").alias("kind"), c("chrom").alias("chrom1"), c("start").alias("pos1"), F.lit("-").alias("strand1"), c("chrom").alias("chrom2"), c("end").alias("pos2"), F.lit("+").alias("strand2"))
+    j = sequence.select("amplicon_id", name("c"), F.lit("concordant").alias("kind"), c("chrom").alias("chrom1"), c("end").alias("pos1"), F.lit("+").alias("strand1"), c("chrom").alias("chrom2"), (c("end") + 1).alias("pos2"), F.lit("-").alias("strand2"))
+    passed = paths.select("amplicon_id", "path", F.explode(F.split("path", ",")).alias("edge"))
+    return passed.join(e.union(j), ["amplicon_id", "edge"], "left").groupBy("amplicon_id", "path", *EDGE).agg(F.count("*").alias("n"))
+
+
+def _asked(pdf: pd.DataFrame, constraints: pd.DataFrame) -> list[Counter]:
+    """The constraints of an amplicon in the numbering of its sorted edges; one with an edge the graph lacks is left out."""
+    at = {e: k for k, e in enumerate(_sorted(pdf)[0][EDGE].itertuples(index=False, name=None))}
+    out = []
+    for _, one in constraints.groupby("path"):
+        n = dict(zip(one[EDGE].itertuples(index=False, name=None), one["n"]))
+        if all(e in at for e in n):
+            out.append(Counter({at[e]: int(k) for e, k in n.items()}))
+    return out
+
+
+def _by_amplicon(edges: DataFrame, constraints: DataFrame | None, run, schema: str) -> DataFrame:
+    """run(edges, constraints as Counters) on each amplicon's edges."""
+    if constraints is None:
+        return edges.groupBy("amplicon_id").applyInPandas(lambda pdf: run(pdf, []), schema)
+    columns = [f.split()[0] for f in schema.split(", ")]
+    both = edges.groupBy("amplicon_id").cogroup(constraints.groupBy("amplicon_id"))
+    return both.applyInPandas(lambda pdf, asked: run(pdf, _asked(pdf, asked)) if len(pdf) else pd.DataFrame(columns=columns), schema)
+
+
+def decompose(edges: DataFrame, mode: str = "greedy", constraints: DataFrame | None = None) -> DataFrame:
     """Walks of each amplicon: (amplicon_id, walk, iscyclic, weight, ord, chrom, start, end, strand).
 
-    mode: greedy, or fewest, which reduces the greedy walks to few that cover nine tenths.
+    mode: greedy, or fewest, which reduces the greedy walks to few that cover nine tenths. constraints: path_constraints.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, asked: list[Counter]) -> pd.DataFrame:
         g = as_graph(pdf)
-        found = [(w, x) for w, x, _ in walks.greedy(g)]
+        found = [(w, x) for w, x, _ in walks.greedy(g, asked)]
         if mode == "fewest":
-            found = walks.fewest(g, [w for w, _ in found])
+            found = walks.fewest(g, [w for w, _ in found], constraints=asked)
         rows = []
         for k, (w, x) in enumerate(sorted(found, key=lambda f: -f[1]), 1):
             for at, (edge, enter) in enumerate(w.steps, 1):
@@ -96,7 +128,7 @@ def decompose(edges: DataFrame, mode: str = "greedy") -> DataFrame:
                 rows.append((pdf["amplicon_id"].iloc[0], k, w.cyclic, round(x, 4), at, chrom, start, end, "+" if enter == g.sequence[edge][0] else "-"))
         return pd.DataFrame(rows, columns=["amplicon_id", "walk", "iscyclic", "weight", "ord", "chrom", "start", "end", "strand"])
 
-    return edges.groupBy("amplicon_id").applyInPandas(run, "amplicon_id long, walk int, iscyclic boolean, weight double, ord int, chrom string, start long, end long, strand string")
+    return _by_amplicon(edges, constraints, run, "amplicon_id long, walk int, iscyclic boolean, weight double, ord int, chrom string, start long, end long, strand string")
 
 
 def order_walks(edges: DataFrame, passes: DataFrame) -> DataFrame:
@@ -161,12 +193,12 @@ def legality(edges: DataFrame, segments: DataFrame) -> DataFrame:
     return own.join(taken, ["amplicon_id", "chrom", "start", "end"], "left").withColumn("taken", F.coalesce("taken", F.lit(0.0))).withColumn("legal", F.col("taken") <= F.col("cn") + 1e-3)
 
 
-def walk_passes(edges: DataFrame) -> DataFrame:
+def walk_passes(edges: DataFrame, constraints: DataFrame | None = None) -> DataFrame:
     """How often each greedy walk passes each edge: (amplicon_id, walk, iscyclic, edge, n)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, asked: list[Counter]) -> pd.DataFrame:
         g = as_graph(pdf)
-        rows = [(pdf["amplicon_id"].iloc[0], k, w.cyclic, e, n) for k, (w, _, _) in enumerate(walks.greedy(g), 1) for e, n in sorted(w.passes(len(g.sequence)).items())]
+        rows = [(pdf["amplicon_id"].iloc[0], k, w.cyclic, e, n) for k, (w, _, _) in enumerate(walks.greedy(g, asked), 1) for e, n in sorted(w.passes(len(g.sequence)).items())]
         return pd.DataFrame(rows, columns=["amplicon_id", "walk", "iscyclic", "edge", "n"])
 
-    return edges.groupBy("amplicon_id").applyInPandas(run, "amplicon_id long, walk int, iscyclic boolean, edge int, n int")
+    return _by_amplicon(edges, constraints, run, "amplicon_id long, walk int, iscyclic boolean, edge int, n int")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import testbed as t
-from ..operators import coverage, graph, kernels
+from ..operators import coverage, graph, kernels, paths, readpaths
 from ..registry import query
 
 COVERAGE = 40.0
@@ -41,6 +41,15 @@ def edges(spark, sf_dir) -> DataFrame:
     return kernels.edge_table(covered, joints.join(support, ["chrom", "pos1", "pos2"]), found)
 
 
+def constraints(spark, sf_dir, fitted: DataFrame) -> DataFrame:
+    """The maximal paths of concordant reads through the amplicons' sequence edges."""
+    own = fitted.where("kind = 'sequence'").select("amplicon_id", F.col("chrom1").alias("chrom"), F.col("pos1").alias("start"), F.col("pos2").alias("end"))
+    seq = readpaths.number_edges(own)
+    reads = t.alignments(spark, sf_dir)
+    found = readpaths.concordant_paths(reads, seq, ["read_id", "q_start", "r_start"], 20)
+    return kernels.path_constraints(paths.maximal(paths.support(found, "amplicon_id")), seq)
+
+
 @query()
 def cn_fit(spark, sf_dir):
     return kernels.fit_copy_number(edges(spark, sf_dir), COVERAGE)
@@ -53,18 +62,20 @@ def multiplicities(spark, sf_dir):
 
 @query()
 def greedy_cycles(spark, sf_dir):
-    return kernels.decompose(cn_fit(spark, sf_dir))
+    fitted = cn_fit(spark, sf_dir)
+    return kernels.decompose(fitted, "greedy", constraints(spark, sf_dir, fitted))
 
 
 @query()
 def fewest_cycles(spark, sf_dir):
-    return kernels.decompose(cn_fit(spark, sf_dir), "fewest")
+    fitted = cn_fit(spark, sf_dir)
+    return kernels.decompose(fitted, "fewest", constraints(spark, sf_dir, fitted))
 
 
 @query()
 def walk_legality(spark, sf_dir):
     fitted = cn_fit(spark, sf_dir)
-    return kernels.legality(fitted, kernels.decompose(fitted))
+    return kernels.legality(fitted, kernels.decompose(fitted, constraints=constraints(spark, sf_dir, fitted)))
 
 
 def _true_cycles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -92,5 +103,5 @@ def triplet_score(spark, sf_dir):
 def euler_walks(spark, sf_dir):
     """The order of each greedy walk, found again from how often it passes its edges."""
     fitted = cn_fit(spark, sf_dir)
-    rows = kernels.walk_passes(fitted)
+    rows = kernels.walk_passes(fitted, constraints(spark, sf_dir, fitted))
     return kernels.order_walks(fitted, rows)

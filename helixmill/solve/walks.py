@@ -103,13 +103,13 @@ def best_walk(g: Graph, cn: list[float], constraints: list[Counter], open_ones:
     return (best[1], weight(g, best[1], cn)) if best else None
 
 
-def greedy(g: Graph, constraints: list[Counter] | None = None, alpha: float = 0.01, most: int = 100) -> list[tuple[Walk, float, set[int]]]:
+def greedy(g: Graph, constraints: list[Counter] | None = None, alpha: float = 0.01) -> list[tuple[Walk, float, set[int]]]:
     """Walks with weight and the constraints each satisfies, in the order found."""
     constraints = constraints or []
     cn = list(g.cn)
     total = rest = sum(c * s for c, s in zip(cn, g.lengths)) or 1.0
     open_ones, out = set(range(len(constraints))), []
-    while len(out) < most and (rest > REST * total or len(open_ones) > REST * len(constraints)):
+    while rest > REST * total or len(open_ones) > REST * len(constraints):  # each walk uses up an edge, so it ends
         bonus = alpha * rest / len(open_ones) if open_ones else 0.0
         if not (found := best_walk(g, cn, constraints, open_ones, bonus)):
             break
@@ -125,9 +125,9 @@ def greedy(g: Graph, constraints: list[Counter] | None = None, alpha: float = 0.
     return out
 
 
-def fewest(g: Graph, pool: list[Walk], cover: float = 0.9) -> list[tuple[Walk, float]]:
+def fewest(g: Graph, pool: list[Walk], cover: float = 0.9, constraints: list[Counter] | None = None) -> list[tuple[Walk, float]]:
     """A small subset of a pool of walks that covers `cover` of the length-weighted copy number: the walk that adds most, each
-    time, weights by what is left; then walks whose removal keeps the cover go."""
+    time, weights by what is left; then walks go whose removal keeps the cover and the constraints satisfied so far."""
     total = sum(c * s for c, s in zip(g.cn, g.lengths))
 
     def refit(walks: list[Walk]) -> tuple[list[tuple[Walk, float]], float]:
@@ -141,11 +141,12 @@ def fewest(g: Graph, pool: list[Walk], cover: float = 0.9) -> list[tuple[Walk, f
                 out.append((w, x))
         return out, got
 
+    met = lambda found: set().union(*(satisfied(g, w, constraints or []) for w, _ in found))
     ordered = sorted(pool, key=lambda w: (-weight(g, w, g.cn) * length(g, w), w.steps))
     chosen, got = refit(ordered)
     for w in [w for w, _ in reversed(chosen)]:
         fewer, less = refit([x for x, _ in chosen if x is not w])
-        if less >= cover * total or less >= got - 1e-9:
+        if (less >= cover * total or less >= got - 1e-9) and met(fewer) >= met(chosen):
             chosen, got = fewer, less
     return chosen
 

@@ -124,6 +124,30 @@ def test_greedy_prefers_constraints():
     assert any(got for _, _, got in found)
 
 
+def test_greedy_takes_more_than_a_hundred_walks():
+    n = lambda p, s: ("chr1", p, s)
+    seq = [(n(100 * k, "-"), n(100 * k + 99, "+")) for k in range(120)]
+    g = walks.Graph(seq, [100.0] * 120, [(b, a) for a, b in seq], [5.0] * 240, [1] * 120)
+    assert len(walks.greedy(g)) == 108  # nine tenths
+
+
+def test_constraints_reach_the_decomposition(spark):
+    from helixmill.operators import kernels, readpaths
+
+    c, s = "chr1", []
+    for k, cn in ((0, 0.5), (100, 10.0), (1100, 0.5)):
+        s.append((1, "sequence", c, k, "-", c, {0: 99, 100: 1099, 1100: 1199}[k], "+", 1000 if k == 100 else 100, 0, 0, cn))
+    s += [(1, "concordant", c, p, "+", c, p + 1, "-", 0, 0, 5, 0.5) for p in (99, 1099)] + [(1, "discordant", c, 1099, "+", c, 100, "-", 0, 0, 8, 9.5)]
+    edges = spark.createDataFrame(s, kernels.EDGES + ", cn double")
+    seq = readpaths.number_edges(spark.createDataFrame([(1, c, 0, 99), (1, c, 100, 1099), (1, c, 1100, 1199)], "amplicon_id long, chrom string, start long, end long"))
+    asked = kernels.path_constraints(spark.createDataFrame([(1, "e1,c1,e2,c2,e3")], "amplicon_id long, path string"), seq)
+    assert {r.n for r in asked.collect()} == {1} and asked.count() == 5
+    plain = kernels.decompose(edges).where("not iscyclic").count()
+    assert kernels.decompose(edges, constraints=asked).where("not iscyclic").count() == 3 and plain == 0
+    assert kernels.decompose(edges, "fewest", asked).where("not iscyclic").count() == 3
+    assert kernels.walk_passes(edges, asked).where("not iscyclic").count() > 0
+
+
 def test_euler_passes_each_edge_as_often():
     g = loop_graph()
     edges = Counter({0: 1, 1: 2, 2: 1, 3: 1, 4: 1, 5: 1})
