@@ -30,24 +30,27 @@ def widen(intervals: DataFrame, segments: DataFrame, params: Params = DEFAULT) -
     return both.select("interval_id", "chrom", start.alias("start"), end.alias("end"))
 
 
-def next_level(frontier: DataFrame, hits: DataFrame, least: int, max_idx_gap: int = 2) -> DataFrame:
+def next_level(frontier: DataFrame, hits: DataFrame, least: int, max_idx_gap: int = 2, segments: DataFrame | None = None, params: Params = DEFAULT) -> DataFrame:
     """Segment stretches (chrom, first_idx, last_idx, reads) that share at least `least` reads with the frontier.
 
     frontier: (chrom, idx) of its segments. Reads reach the join through the frontier's segments only. Stretches join
-    segments at most max_idx_gap apart.
+    segments at most max_idx_gap apart and, if the segments are given, with at most max_interval bases between them.
     """
     reads = hits.join(frontier.select("chrom", "idx").distinct(), ["chrom", "idx"], "left_semi").select("read_id").distinct()
     others = hits.join(reads, "read_id", "left_semi").join(frontier, ["chrom", "idx"], "left_anti")
     found = others.groupBy("chrom", "idx").agg(F.countDistinct("read_id").alias("reads")).where(F.col("reads") >= least)
     w = Window.partitionBy("chrom").orderBy("idx")
-    opens = F.when(F.col("idx") - F.lag("idx").over(w) <= max_idx_gap, 0).otherwise(1)
+    near = F.col("idx") - F.lag("idx").over(w) <= max_idx_gap
+    if segments is not None:
+        found = found.join(segments.select("chrom", F.col("seg_idx").alias("idx"), "seg_start", "seg_end"), ["chrom", "idx"])
+        near = near & (F.col("seg_start") - F.lag("seg_end").over(w) <= params.max_interval)
+    opens = F.when(near, 0).otherwise(1)
     runs = found.withColumn("opens", opens).withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy("chrom", "run").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.sum("reads").alias("reads")).drop("run")
 
 
 def refine(stretches: DataFrame, segments: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Stretches of segments as intervals padded by the interval delta, not below 0, no wider than max_interval a side of
-    the padded segments."""
+    """Stretches of segments as intervals padded by the interval delta, not below 0."""
     s = segments.select("chrom", "seg_idx", "seg_start", "seg_end")
     first = stretches.join(s.select("chrom", F.col("seg_idx").alias("first_idx"), F.col("seg_start").alias("start")), ["chrom", "first_idx"])
     both = first.join(s.select("chrom", F.col("seg_idx").alias("last_idx"), F.col("seg_end").alias("end")), ["chrom", "last_idx"])
@@ -72,7 +75,7 @@ def search(seeds: DataFrame, hits: DataFrame, segments: DataFrame, least: int, p
     frontier = known
     for _ in range(max_levels):
         met = checkpointed(segments_of(frontier))
-        new = refine(next_level(met, hits, least), segments, params).withColumn("interval_id", F.monotonically_increasing_id())
+        new = refine(next_level(met, hits, least, segments=segments, params=params), segments, params).withColumn("interval_id", F.monotonically_increasing_id())
         new = checkpointed(subtract(new, known, ["chrom"], "interval_id").select("chrom", "start", "end").distinct())
         if not new.limit(1).count():
             break

@@ -184,6 +184,14 @@ def test_search_ends(spark):
     assert got == [("c", 900, 2099), ("c", 8900, 10099), ("c", 14900, 16099)]  # what a padded stretch adds to known ones is kept
 
 
+def test_search_splits_stretches_at_wide_gaps(spark):
+    seg = spark.createDataFrame([("c", 0, 0, 999, 2.0), ("c", 1, 10_000, 10_999, 2.0), ("c", 2, 2_010_999, 2_011_998, 2.0), ("c", 3, 4_011_999, 4_012_998, 2.0)], "chrom string, seg_idx long, seg_start long, seg_end long, cn double")
+    hits = spark.createDataFrame([(r, "c", i) for r in range(3) for i in range(4)], "read_id long, chrom string, idx long")
+    front = spark.createDataFrame([("c", 0)], "chrom string, idx long")
+    # 2,000,000 bases from the end to the next start are joined, 2,000,001 are not
+    assert rows(expand.next_level(front, hits, 3, segments=seg).select("first_idx", "last_idx")) == [(1, 2), (3, 3)]
+
+
 def test_hsr_needs_one_end_inside(spark):
     b = spark.createDataFrame([(k, "c", 50, "+", "d", 7000 + k, "-") for k in range(3)] + [(9, "c", 50, "+", "c", 60, "-")], "read_id long, chrom_a string, pos_a long, strand_a string, chrom_b string, pos_b long, strand_b string")
     amp = spark.createDataFrame([("c", 0, 100)], "chrom string, start long, end long")
