@@ -57,11 +57,11 @@ def refine(stretches: DataFrame, segments: DataFrame, params: Params = DEFAULT)
     return both.select("chrom", F.greatest(F.lit(0), F.col("start") - params.interval_delta).alias("start"), (F.col("end") + params.interval_delta).alias("end"))
 
 
-def search(seeds: DataFrame, hits: DataFrame, segments: DataFrame, least: int, params: Params = DEFAULT, max_levels: int = 50) -> DataFrame:
+def search(seeds: DataFrame, hits: DataFrame, segments: DataFrame, least: int, params: Params = DEFAULT) -> DataFrame:
     """Breadth-first search from seed intervals (chrom, start, end) over shared reads, a batch a level.
 
-    A level's new intervals are what the known ones leave of it; the search ends when a level adds nothing. Only that
-    fact reaches the driver.
+    A level's new intervals are what the known ones leave of it; the search ends when a level adds nothing, however
+    deep that is: known intervals only grow. Only that fact reaches the driver.
     """
     from .joins import range_join
 
@@ -73,12 +73,11 @@ def search(seeds: DataFrame, hits: DataFrame, segments: DataFrame, least: int, p
 
     known = checkpointed(merge_intervals(seeds, ["chrom"], 1))
     frontier = known
-    for _ in range(max_levels):
+    while True:
         met = checkpointed(segments_of(frontier))
         new = refine(next_level(met, hits, least, segments=segments, params=params), segments, params).withColumn("interval_id", F.monotonically_increasing_id())
         new = checkpointed(subtract(new, known, ["chrom"], "interval_id").select("chrom", "start", "end").distinct())
         if not new.limit(1).count():
-            break
+            return known
         frontier = merge_intervals(new, ["chrom"], 1)
         known = checkpointed(merge_intervals(known.select("chrom", "start", "end").union(new), ["chrom"], 1))
-    return known

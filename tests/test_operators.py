@@ -192,6 +192,21 @@ def test_search_splits_stretches_at_wide_gaps(spark):
     assert rows(expand.next_level(front, hits, 3, segments=seg).select("first_idx", "last_idx")) == [(1, 2), (3, 3)]
 
 
+def test_search_has_no_deepest_level(spark, monkeypatch):
+    from unittest.mock import MagicMock
+
+    left = iter([1] * 60 + [0])  # rows a level adds: sixty levels and an empty one, without running them
+    for name in ("merge_intervals", "next_level", "refine"):
+        monkeypatch.setattr(expand, name, MagicMock())
+    monkeypatch.setattr(joins, "range_join", MagicMock())
+    monkeypatch.setattr(expand, "checkpointed", lambda df: df)
+    level = MagicMock()
+    level.select.return_value.distinct.return_value.limit.return_value.count.side_effect = lambda: next(left)
+    monkeypatch.setattr(expand, "subtract", lambda *a: level)
+    expand.search(MagicMock(), MagicMock(), MagicMock(), 3)
+    assert next(left, None) is None
+
+
 def test_hsr_needs_one_end_inside(spark):
     b = spark.createDataFrame([(k, "c", 50, "+", "d", 7000 + k, "-") for k in range(3)] + [(9, "c", 50, "+", "c", 60, "-")], "read_id long, chrom_a string, pos_a long, strand_a string, chrom_b string, pos_b long, strand_b string")
     amp = spark.createDataFrame([("c", 0, 100)], "chrom string, start long, end long")
