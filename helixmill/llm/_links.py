@@ -8,7 +8,9 @@ pairs of blocks, compared as packed arrays; from each only a spanning forest of
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -16,9 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import durable, small_batches, tasks
+from ._common import durable, forget, join_hot, small_batches, tasks
 
 FAN_BITS = 4
+SQUARE_BITS = 3  # blocks a side of a square of pairs, as a power of two
 
 
 def cut_blocks(frames: Iterator[pd.DataFrame], size: int, pack: Callable[[pd.DataFrame], dict]) -> Iterator[pd.DataFrame]:
@@ -75,31 +78,53 @@ def close_pairs(blocks: DataFrame, box: list[str], near: Callable[[Callable, Cal
         return df.select(F.col("x_grp").alias("grp"), F.col("x_node").alias("a"), F.col("y_node").alias("b"))
 
     root = nodes(levels)  # at most 17 nodes a group
-    pairs = ends_only(side(root, "x").join(side(root, "y"), (F.col("x_grp") == F.col("y_grp")) & fits()))
+    pairs = durable(ends_only(side(root, "x").join(side(root, "y"), (F.col("x_grp") == F.col("y_grp")) & fits())), "close-nodes")
     for level in range(levels - 1, -1, -1):
-        n = nodes(level)
-        x = pairs.join(side(n, "x"), (F.col("grp") == F.col("x_grp")) & (F.col("a") == F.col("x_up")))
-        pairs = ends_only(x.join(side(n, "y"), (F.col("grp") == F.col("y_grp")) & (F.col("b") == F.col("y_up")) & fits()))
+        n, above = nodes(level), pairs
+        x = above.join(side(n, "x"), (F.col("grp") == F.col("x_grp")) & (F.col("a") == F.col("x_up")))
+        pairs = durable(ends_only(x.join(side(n, "y"), (F.col("grp") == F.col("y_grp")) & (F.col("b") == F.col("y_up")) & fits())), "close-nodes")
+        forget(above)
     return pairs
 
 
-def compare_pairs(pairs: DataFrame, blocks: DataFrame, payload: list[str], compare: Callable[[pd.Series], pd.DataFrame | None], schema: str) -> DataFrame:
-    """Run compare on each pair of blocks: a row with x_<payload> and y_<payload>, and same (a block with itself)."""
+def compare_pairs(pairs: DataFrame, blocks: DataFrame, payload: list[str], compare: Callable[[Any], pd.DataFrame | None], schema: str) -> DataFrame:
+    """Run compare on each pair of blocks: an object with x_<payload> and y_<payload>, and same (a block with itself).
+
+    Pairs are dealt in squares of 2^SQUARE_BITS neighbouring blocks a side, and a square gets each block it needs once, so
+    a block travels once a square and not once a pair. A task holds one square's blocks at a time.
+    """
     spark = pairs.sparkSession
     small_batches(spark)
+    at = lambda c: F.shiftright(c, SQUARE_BITS)
+    squares = pairs.groupBy("grp", at("a").alias("sa"), at("b").alias("sb")).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("todo"))
+    needs = F.array_distinct(F.concat("todo.a", "todo.b"))
+    asked = squares.select("grp", "sa", "sb", "todo", F.posexplode(needs).alias("k", "blk"))
+    asked = asked.select("grp", "sa", "sb", "blk", F.when(F.col("k") == 0, F.col("todo")).alias("todo"))
     load = blocks.select("grp", "blk", *payload)
-    x = load.select("grp", F.col("blk").alias("a"), *[F.col(c).alias(f"x_{c}") for c in payload])
-    y = load.select("grp", F.col("blk").alias("b"), *[F.col(c).alias(f"y_{c}") for c in payload])
-    both = pairs.repartition(tasks(spark), "grp", "a", "b").join(x, ["grp", "a"]).join(y, ["grp", "b"])
-    both = both.select((F.col("a") == F.col("b")).alias("same"), *[f"x_{c}" for c in payload], *[f"y_{c}" for c in payload])
+    order = ["grp", "sa", "sb"]
+    dealt = asked.join(load, ["grp", "blk"]).repartition(tasks(spark), *order).sortWithinPartitions(*order, "blk")
+    names = ["same", *[f"{end}_{c}" for end in "xy" for c in payload]]
+    box = namedtuple("Pair", names)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        square, held, todo = None, {}, None
+
+        def done() -> Iterator[pd.DataFrame]:
+            for a, b in todo if todo is not None else ():
+                if (out := compare(box(a == b, *held[a], *held[b]))) is not None and len(out):
+                    yield out
+
         for frame in frames:
             for row in frame.itertuples(index=False):
-                if (out := compare(row)) is not None and len(out):
-                    yield out
+                if (row.grp, row.sa, row.sb) != square:
+                    yield from done()
+                    square, held, todo = (row.grp, row.sa, row.sb), {}, None
+                held[row.blk] = [getattr(row, c) for c in payload]
+                if row.todo is not None:
+                    todo = [(p["a"], p["b"]) for p in row.todo]
+        yield from done()
 
-    return both.mapInPandas(run, schema)
+    return dealt.select(*order, "blk", "todo", *payload).mapInPandas(run, schema)
 
 
 def local_roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -120,7 +145,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v): root is the smallest node reachable.
 
     Alternating large-star and small-star steps, each a partial aggregate and an equi-join; every round is written to
-    the shared folder, and nothing but a count and a checksum reaches the driver.
+    the shared folder, and nothing but a count and a checksum reaches the driver. A hub's edges are joined with its least
+    neighbour by broadcast, so they don't meet in one task.
     """
     u, v = F.col("u"), F.col("v")
     e = durable(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
@@ -131,8 +157,10 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(u.alias("node"), v.alias("root")).union(e.select(v.alias("node"), v.alias("root"))).distinct()
         state = found
         both = e.union(e.select(v.alias("u"), u.alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        star = both.where(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
-        inner = star.join(low, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
-        e = durable(inner.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")).withColumnRenamed("u", "of"), "least")
+        star = join_hot(both.where(v > u), least, "u", "of", "n", 2 * found[0]).select(v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()
+        star = durable(star, "star")
+        low = durable(star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumnRenamed("u", "of"), "low")
+        inner = join_hot(star, low, "u", "of", "n", star.count()).where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
+        before, e = e, durable(inner.union(low.select(F.col("of").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        forget(before, least, star, low)

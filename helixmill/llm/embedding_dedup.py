@@ -11,7 +11,7 @@ bounded sample (AXES_ROWS rows); they steer the pruning and never the result.
 
 Defined cases: only equal, non-null labels are compared, and vectors of equal length; vectors that are null, empty, zero
 or hold null or non-finite components, and rows without id, link with nothing (n_links 0, their own component); rows
-that repeat an id are separate vectors of one name. Extra columns are ignored.
+that repeat an id are separate vectors of one name, equal or not, and link like any others. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import digest_sample, durable, small_batches, usable
+from ._common import digest_sample, durable, join_hot, small_batches, usable
 from ._links import close_pairs, compare_pairs, components, cut_blocks, local_roots, number_blocks
 
 AXES = 8
@@ -34,15 +34,15 @@ BLOCK_BYTES = 64 * 1024
 MARGIN = 1e-9  # closer to the threshold than this, the cosine is recomputed from the original components
 
 
-def principal_axes(points: DataFrame, vector: str, key: str) -> np.ndarray:
-    """Leading principal axes (as rows) of the unit vectors, from the AXES_ROWS rows of smallest key."""
-    rows = digest_sample(points.select(key, vector), F.xxhash64(key), AXES_ROWS, key).collect()
+def principal_axes(points: DataFrame, vector: str) -> np.ndarray:
+    """Leading principal axes (as rows) of the unit vectors, from the AXES_ROWS rows of smallest digest."""
+    rows = digest_sample(points.select(vector), F.xxhash64(vector), AXES_ROWS, vector).collect()
     if not rows:
         return np.zeros((1, 1))
-    width = max(len(r[1]) for r in rows)
+    width = max(len(r[0]) for r in rows)
     x = np.zeros((len(rows), width))
     for k, r in enumerate(rows):
-        x[k, : len(r[1])] = r[1]
+        x[k, : len(r[0])] = r[0]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x -= x.mean(0)
     return np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :AXES].T.copy()
@@ -59,9 +59,10 @@ def links(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vecto
     epsilon = math.sqrt(2 - 2 * least)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
     part = F.coalesce(usable("v") & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False))
-    points = rows.where(part).groupBy("label", "v").agg(F.min("id").alias("point"), F.count("*").alias("copies"))
-    points = durable(points.withColumn("grp", F.xxhash64("label", F.size("v"))), "points")
-    axes = principal_axes(points, "v", "point")
+    points = rows.where(part).groupBy("label", "v").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
+    points = points.withColumn("grp", F.xxhash64("label", F.size("v"))).withColumn("point", F.monotonically_increasing_id())
+    points = durable(points, "points")  # a number for each distinct (label, vector), whatever its rows' ids
+    axes = principal_axes(points, "v")
     n_axes, double = len(axes), points.schema["v"].dataType.simpleString() == "array<double>"
     real = "<f8" if double else "<f4"
 
@@ -88,7 +89,7 @@ def links(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vecto
     box = [f"c{k}" for k in range(n_axes)]
     schema = "grp long, point long, copies long, raw binary" + "".join(f", c{k} double, g{k} int" for k in range(n_axes))
     order = ["grp", *[f"g{k}" for k in range(n_axes)], "point"]
-    cells = points.select("grp", F.col("point").cast("long"), "copies", "v").mapInArrow(project, schema)
+    cells = points.select("grp", "point", "copies", "v").mapInArrow(project, schema)
     sequence = cells.repartitionByRange(*order).sortWithinPartitions(*order)
     width = axes.shape[1] * (8 if double else 4)
     block_rows = max(16, min(1024, BLOCK_BYTES // max(1, width)))
@@ -130,28 +131,35 @@ def links(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vecto
 
     found = compare_pairs(close_pairs(blocks, box, near), blocks, ["ids", "copies", "raw"], compare, "u long, v long, n long")
     found = durable(found, "links")
-    groups = components(found.select("u", "v"))
+    groups = durable(components(found.select("u", "v")), "groups")
+    named = groups.join(points.select("point", "first_id"), F.col("node") == F.col("point"))
+    least = named.groupBy("root").agg(F.min("first_id").alias("least_id"), F.count("*").alias("members"))
+    least = durable(least.withColumnRenamed("root", "of"), "least")
+    groups = join_hot(groups, least, "root", "of", "members", groups.count()).select("node", "least_id")
     counts = found.groupBy("u").agg(F.sum("n").alias("n"))
     known = points.join(counts, F.col("point") == F.col("u"), "left").join(groups, F.col("point") == F.col("node"), "left")
-    known = known.select(F.col("label").alias("l2"), F.col("v").alias("v2"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "point").alias("component_id"))
-    used = rows.where(part).join(known, (F.col("label") == F.col("l2")) & (F.col("v") == F.col("v2")))
+    key = F.struct(F.col("label").alias("l"), F.col("v").alias("v"))
+    known = known.select(key.alias("of"), "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("least_id", "first_id").cast("long").alias("component_id"))
+    keyed = rows.where(part).select("id", key.alias("key"))
+    used = join_hot(keyed, durable(known, "known"), "key", "of", "copies", keyed.count())
     own = rows.where(~part).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"))
     out = used.select("id", "n_links", "component_id").union(own)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 ORACLE = """
-WITH RECURSIVE ok AS (
-  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+WITH RECURSIVE rows AS (SELECT vec_id, label, embedding, ROW_NUMBER() OVER () AS k FROM embeddings),
+ok AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, k FROM rows
   WHERE embedding IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 p AS (
-  SELECT a.vec_id AS u, b.vec_id AS w FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  SELECT a.k AS u, b.k AS w, b.vec_id AS id FROM ok a JOIN ok b ON a.label = b.label AND a.k <> b.k AND len(a.v) = len(b.v)
   WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.98),
-r(u, w) AS (SELECT u, w FROM p UNION SELECT r.u, p.w FROM r JOIN p ON r.w = p.u),
-c AS (SELECT u, MIN(w) AS least FROM r GROUP BY u),
+r(u, w, id) AS (SELECT u, w, id FROM p UNION SELECT r.u, p.w, p.id FROM r JOIN p ON r.w = p.u),
+c AS (SELECT u, MIN(id) AS least FROM r GROUP BY u),
 n AS (SELECT u, COUNT(*) AS n FROM p GROUP BY u)
 SELECT e.vec_id, CAST(COALESCE(n.n, 0) AS BIGINT) AS n_links, CAST(LEAST(e.vec_id, COALESCE(c.least, e.vec_id)) AS BIGINT) AS component_id,
        e.vec_id = LEAST(e.vec_id, COALESCE(c.least, e.vec_id)) AS kept
-FROM embeddings e LEFT JOIN n ON e.vec_id = n.u LEFT JOIN c ON e.vec_id = c.u
+FROM rows e LEFT JOIN n ON e.k = n.u LEFT JOIN c ON e.k = c.u
 """

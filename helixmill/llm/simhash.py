@@ -6,7 +6,8 @@ radius: |pop(x) - pop(y)| summed over disjoint parts never exceeds the number of
 
 Defined cases: null or blank text has no word and fingerprint zero, linked like any other; a text of fewer words than a
 shingle is one shingle; rows that repeat an id are separate rows of one document; a null id is ignored when the smallest
-id of a group is sought, and a group of null ids alone has a null component. Extra columns are ignored.
+id of a group is sought, and a group of null ids alone has a null component. Extra columns are ignored, or kept by
+keep_one().
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable, small_batches
+from ._common import durable, join_hot, sized, small_batches
 from ._links import close_pairs, compare_pairs, components, cut_blocks, local_roots, number_blocks
 
 SEED = 42
@@ -114,13 +115,45 @@ def _links(fps: DataFrame, radius: int) -> DataFrame:
     return compare_pairs(pairs, blocks, ["fps"], compare, "u long, v long")
 
 
+def _grouped(marked: DataFrame, first: Column, radius: int) -> DataFrame:
+    """(fp, n, first, least) of marked rows with fp: the number of rows and the smallest `first` of each fingerprint, and of
+    its group."""
+    fps = durable(marked.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    groups = durable(components(_links(fps, radius)), "groups")
+    named = groups.join(fps, F.col("node") == F.col("fp")).select("root", "first")
+    least = named.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("members"))
+    least = durable(least.withColumnRenamed("root", "of"), "least")
+    known = join_hot(groups, least, "root", "of", "members", groups.count()).select("node", "least")
+    out = fps.join(known, F.col("fp") == F.col("node"), "left")
+    return durable(out.select("fp", "n", "first", F.coalesce("least", "first").alias("least")), "groups-of-fingerprints")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
     """One row per document: id_col, fingerprint (16 hex digits), component_id (smallest id reachable by links)."""
     marked = durable(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    fps = durable(marked.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct-fingerprints")
-    groups = components(_links(fps, radius))
-    named = groups.join(fps, F.col("node") == F.col("fp")).select("node", "root", "first_id")
-    least = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    known = named.join(least, "root").select(F.col("node").alias("fp"), "least_id")
-    of = fps.join(known, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return marked.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = _grouped(marked, F.col(id_col), radius).select(F.col("fp").alias("of"), "n", F.col("least").alias("component_id"))
+    rows = join_hot(marked, of, "fp", "of", "n", marked.count())
+    return rows.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
+    """docs with one row of each group: that of the smallest id (null last), among rows of that id the smallest digest of
+    the whole row. Rows equal in every column leave one. A row goes only if its own fingerprint's group keeps another."""
+    columns = docs.columns
+    row = F.xxhash64(*[F.col(c) for c in columns])
+    marked = fingerprints(docs.select(F.struct(F.col(id_col).alias("id"), row.alias("row")).alias("name"), F.col(text_col).alias("text")), "name", "text", width)
+    marked = durable(marked.select("name.id", "name.row", "fp"), "fingerprints")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    of = _grouped(marked, rank, radius).select(F.col("fp").alias("of"), F.col("n").alias("m"), "least")
+    named = join_hot(marked, of, "fp", "of", "m", marked.count())
+    own = named.select("id", "row", (F.col("row") == F.col("least.row")) & F.col("id").eqNullSafe(F.col("least.id")))
+    names = durable(own.toDF("id", "row", "stays").groupBy("id", "row").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "names")
+    on = (F.col(id_col).eqNullSafe(F.col("__hm_id"))) & (F.col("__hm_key") == F.col("__hm_row"))
+    slim = lambda some: names.where(some).select(F.col("id").alias("__hm_id"), F.col("row").alias("__hm_row"))
+    keyed = docs.withColumn("__hm_key", row)
+    out = keyed.join(sized(slim("not stays")), on, "left_anti")
+    again = slim("stays and n > 1")
+    if again.limit(1).count():
+        one = keyed.join(sized(again), on, "left_semi").dropDuplicates([id_col, "__hm_key"])
+        out = out.join(sized(again), on, "left_anti").unionByName(one)
+    return out.select(*columns)
