@@ -3,12 +3,13 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixmill.llm import bpe, html_extract, licences, mixing, secret_scan, toxicity, url_filter
+from helixmill.llm import _common, bpe, html_extract, licences, mixing, secret_scan, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,17 +50,46 @@ def test_secret_report(spark):
     assert secret_scan.report(df.limit(0)).collect() == []
 
 
-def test_ledger_scans_only_unseen(spark):
-    one = spark.createDataFrame([(1, CASES[3]), (2, CASES[4]), (3, CASES[3])], "id long, text string")
-    found, pairs = secret_scan.scan(one)
-    assert found.count() == 2 and pairs.count() == 2 * len(secret_scan.RULES)
-    two = spark.createDataFrame([(4, CASES[3]), (5, CASES[8])], "id long, text string")
-    more, new = secret_scan.scan(two, pairs)
-    assert more.count() == 1 and new.count() == len(secret_scan.RULES)
-    rules = tuple(secret_scan.Rule(r.kind, r.pattern, r.group, r.least, r.version + (r.kind == "hex"), r.base) for r in secret_scan.RULES)
-    again, newer = secret_scan.scan(two, pairs.union(new), rules)
-    assert [tuple(r) for r in newer.select("rule", "version").distinct().collect()] == [("hex", 2)]
-    assert {x["kind"] for r in again.collect() for x in r.spans} == {"hex"}
+def test_ledger_scans_only_unseen(spark, tmp_path, monkeypatch):
+    ledger, columns = str(tmp_path / "ledger"), "id long, text string"
+    entries = lambda: spark.read.schema(secret_scan.LEDGER).parquet(ledger).collect()
+    one = spark.createDataFrame([(1, CASES[3]), (2, CASES[4]), (3, CASES[3]), (1, CASES[8])], columns)  # versions of path 1
+    first = {(r.id, r.spans) for r in secret_scan.report(one, "id", ledger=ledger).collect()}
+    assert len(entries()) == 3 and {len(r.rules) for r in entries()} == {len(secret_scan.RULES)}
+    # a second run over the same texts scans nothing and reports all
+    monkeypatch.setattr(secret_scan, "spans_of", lambda *a: pytest.fail("scanned again"))
+    assert {(r.id, r.spans) for r in secret_scan.report(one, "id", ledger=ledger).collect()} == first
+    assert len(entries()) == 3
+    monkeypatch.undo()
+    # known and new blobs: only the new one is scanned, the known one's findings reach the new path
+    two = spark.createDataFrame([(4, CASES[3]), (5, CASES[9])], columns)
+    got = {r.id: r.spans for r in secret_scan.report(two, "id", ledger=ledger).collect()}
+    assert len(entries()) == 4 and got[4] == next(s for i, s in first if i == 3) and got[5]
+    # a rule of a new version is scanned alone, once, and its findings take the place of the old version's
+    rules = tuple(secret_scan.Rule(r.kind, r.pattern, r.group, 40 if r.kind == "hex" else r.least, r.version + (r.kind == "hex"), r.base) for r in secret_scan.RULES)
+    again = {r.id: r for r in secret_scan.report(two, "id", rules=rules, ledger=ledger).collect()}
+    assert sorted(len(r.rules) for r in entries()) == [1, 1, 7, 7, 7, 7]
+    assert again[4].n_hex == 0 and again[4].n_assign == 1 and again[5].n_hex == 1
+    assert {(r.id, r.spans) for r in secret_scan.report(one, "id", ledger=ledger).collect()} == first
+
+
+def test_findings_reach_all_copies_beyond_the_broadcast_limit(spark, monkeypatch):
+    rows = [(k, CASES[3] if k % 2 else f"secret=abcdef{k}", "s") for k in range(60)]
+    want = sorted(map(str, secret_scan.report(docs(spark, rows)).collect()))
+    clean = sorted(map(str, secret_scan.redact(docs(spark, rows)).collect()))
+    for module in (secret_scan, _common):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(_common, "HOT_KEYS", 10)
+    assert sorted(map(str, secret_scan.report(docs(spark, rows)).collect())) == want
+    assert sorted(map(str, secret_scan.redact(docs(spark, rows)).collect())) == clean
+
+
+def test_many_secrets_in_one_text(spark):
+    text = "password=abcdefg " * 30_000
+    began = time.time()
+    got = secret_scan.report(docs(spark, [(1, text, "s")])).collect()[0]
+    assert got.n_assign == 30_000 and got.spans.endswith(f"assign:{17 * 29_999}:{17 * 30_000 - 1}") and time.time() - began < 60
+    assert secret_scan.redact(docs(spark, [(1, text, "s")])).collect()[0].text == "[SECRET] " * 30_000
 
 
 def test_redact(spark):
