@@ -8,7 +8,8 @@ the middle between two scores.
 A string is scored through its substrings: one join gives for each (position, length) the log-probability of the
 substring as a gram and the log back-off weight as a context. The probability at a position is that of its longest known
 gram times the back-off weights of the longer known contexts. The table of grams
-grows with the URLs, as far as their characters allow.
+grows with the URLs, as far as their characters allow. Distinct strings are numbered, and only numbers and substrings
+travel; work grows with the length of a string.
 
 Defined cases: a null url, and one without `://`, have an empty host and path; the models judge what follows `://`, or
 the whole url without it; an empty or null url that no rule fits is blocked; if either class has no URL to learn from,
@@ -23,9 +24,10 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import durable, sized
+from ._common import durable, join_hot, sized
 
 ORDER = 4
+STRETCH = 512
 SCORES = 50_000  # distinct held-out scores a task of the threshold's running counts
 ALPHABET = 256  # characters the lowest order shares its last mass among
 
@@ -62,10 +64,23 @@ def matching_rule(rules: tuple[UrlRule, ...]) -> Column:
 
 
 def _grams(rows: DataFrame, *keep: str) -> DataFrame:
-    """(keep, at, k, s): substrings s of length k up to ORDER that end at character `at` of column rest."""
-    at = rows.select(*keep, "rest", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("at"))
-    k = F.explode(F.sequence(F.lit(1), F.least(F.lit(ORDER), F.col("at")))).alias("k")
-    return at.select(*keep, "rest", "at", k).select(*keep, "at", "k", F.expr("substring(rest, at - k + 1, k)").alias("s"))
+    """(keep, at, k, s): substrings s of length k up to ORDER that end at character `at` of column rest.
+
+    A string is cut into stretches of STRETCH characters, each with the ORDER - 1 before it, so the work grows with its
+    length and no row holds more than a stretch's substrings.
+    """
+    chars, back = F.split("rest", ""), ORDER - 1
+    cut = lambda j: F.struct((j * STRETCH).alias("first"), F.slice("chars", F.greatest(F.lit(1), j * STRETCH + 1 - back), F.least(j * STRETCH, F.lit(back)) + STRETCH).alias("c"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("chars") - 1) / STRETCH).cast("int")), cut)
+    part = rows.where("rest <> ''").select(*keep, chars.alias("chars")).select(*keep, F.explode(runs).alias("run")).select(*keep, "run.first", "run.c")
+    lead = F.least("first", F.lit(back))  # characters of the stretch before
+
+    def ending(i: Column) -> Column:  # the substrings that end at the i-th character of the run, from 1
+        k = F.sequence(F.lit(1), F.least(F.lit(ORDER), i))
+        return F.transform(k, lambda k: F.struct((F.col("first") - lead + i).alias("at"), k.alias("k"), F.concat(*[F.when(k > n, F.get("c", i - 1 - n)).otherwise("") for n in range(ORDER - 1, 0, -1)], F.get("c", i - 1)).alias("s")))
+
+    each = F.flatten(F.transform(F.sequence(lead + 1, F.size("c")), ending))
+    return part.select(*keep, F.inline(each))
 
 
 def fit(rows: DataFrame) -> DataFrame:
@@ -93,15 +108,17 @@ def fit(rows: DataFrame) -> DataFrame:
 
 
 def score(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """(rest, score) for distinct strings: mean over characters of log P(class 1) - log P(class 0)."""
+    """(sid, score) of strings (sid, rest), sid their number: mean over characters of log P(class 1) - log P(class 0)."""
     root = model.where("s = ''").select("w0", "w1").first()
-    found = _grams(rows, "rest").join(sized(model), "s", "left")
+    size = F.length("rest").alias("size")
+    dealt = rows.where("rest <> ''").select("sid", "rest", size).repartition("sid")  # what follows groups within a string
+    found = _grams(dealt, "sid", "size").join(sized(model), "s", "left")
     # as a gram the substring counts where it ends, as a context at the next character
     use = F.explode(F.array(F.struct(F.col("at").alias("pos"), F.lit(True).alias("gram")), F.struct((F.col("at") + 1).alias("pos"), F.lit(False).alias("gram"))))
     values = [f"{c}{y}" for c in "pw" for y in (0, 1)]
-    each = found.select("rest", "k", *values, use.alias("u")).where((F.col("u.gram") & (F.col("p0").isNotNull() | F.col("p1").isNotNull())) | (~F.col("u.gram") & (F.col("k") < ORDER) & (F.col("w0").isNotNull() | F.col("w1").isNotNull())) | (F.col("u.gram") & (F.col("k") == 1)))
+    each = found.select("sid", "size", "k", *values, use.alias("u")).where((F.col("u.gram") & (F.col("p0").isNotNull() | F.col("p1").isNotNull())) | (~F.col("u.gram") & (F.col("k") < ORDER) & (F.col("w0").isNotNull() | F.col("w1").isNotNull())) | (F.col("u.gram") & (F.col("k") == 1)))
     pick = [F.max(F.when((F.col("k") == k) & (F.col("u.gram") == (c == "p")), F.col(f"{c}{y}"))).alias(f"{c}{y}_{k}") for c in "pw" for y in (0, 1) for k in range(1, ORDER + (c == "p"))]
-    at = each.groupBy("rest", F.col("u.pos").alias("pos")).agg(*pick).where(F.col("pos") <= F.length("rest"))
+    at = each.groupBy("sid", F.col("u.pos").alias("pos")).agg(F.max("size").alias("size"), *pick).where("pos <= size")
     logs = []
     for y in (0, 1):
         zero, none = F.lit(0.0), F.lit(float(root[y]) if root and root[y] is not None else 0.0) - F.log(F.lit(float(ALPHABET)))
@@ -111,7 +128,8 @@ def score(rows: DataFrame, model: DataFrame) -> DataFrame:
             if k > 1:
                 above = above + F.coalesce(F.col(f"w{y}_{k - 1}"), zero)
         logs.append(F.coalesce(*cases, none + above))
-    return at.select("rest", (logs[1] - logs[0]).alias("d")).groupBy("rest").agg((F.sum(F.round("d", 9).cast("decimal(30,9)")).cast("double") / F.length("rest")).alias("score"))
+    mean = F.sum(F.round("d", 9).cast("decimal(30,9)")).cast("double") / F.max("size")
+    return at.select("sid", "size", (logs[1] - logs[0]).alias("d")).groupBy("sid").agg(mean.alias("score"))
 
 
 def threshold(known: DataFrame) -> float:
@@ -145,16 +163,21 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...], id_col: str = "page_id",
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     rows = rows.select("id", F.coalesce(rest_of("url"), "url", F.lit("")).alias("rest"), host_of("url").alias("host"), path_of("url").alias("path"))
     rows = durable(rows.withColumn("m", matching_rule(rules)).select("id", "rest", "host", "path", "m.rule", "m.verdict"), "urls")
-    named = rows.where("verdict is not null and rest <> ''").select("rest", F.when(F.col("verdict") == "allow", 1).otherwise(0).alias("y")).distinct()
-    known = durable(named, "known-urls")
+    strings = rows.where("rest <> ''").groupBy("rest", F.when(F.col("verdict").isNotNull(), (F.col("verdict") == "allow").cast("int")).alias("y")).agg(F.count("*").alias("n"))
+    strings = durable(strings.withColumn("sid", F.monotonically_increasing_id()), "strings")  # a number for each distinct string
+    known, open_ones = strings.where("y is not null"), strings.where("y is null")
     held = F.pmod(F.xxhash64(F.lit("held out"), "rest"), F.lit(5)) == 0
     of = known.groupBy("y").agg(F.count("*"), F.sum((~held).cast("int"))).collect()
-    open_ones = rows.where("verdict is null and rest <> ''").select("rest").distinct()
     if len(of) == 2 and all(r[2] for r in of):
         model = fit(known.where(~held))
-        limit = threshold(score(known.where(held).select("rest").distinct(), model).join(known, "rest"))
-        judged = score(open_ones, model).withColumn("own", F.when(F.col("score") > limit, "allow").otherwise("block"))
+        limit = threshold(score(known.where(held), model).join(known.select("sid", "y"), "sid"))
+        judged = open_ones.join(score(open_ones, model), "sid").withColumn("own", F.when(F.col("score") > limit, "allow").otherwise("block"))
     else:
-        judged = open_ones.select("rest", F.lit(None).cast("double").alias("score"), F.lit("allow").alias("own"))
-    out = rows.join(judged.withColumnRenamed("rest", "of"), (F.col("rest") == F.col("of")) & F.col("verdict").isNull(), "left")
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", "own", F.lit("block")).alias("verdict"), "score")
+        judged = open_ones.select("rest", "n", F.lit(None).cast("double").alias("score"), F.lit("allow").alias("own"))
+    judged = durable(judged.select(F.col("rest").alias("of"), "n", "score", "own"), "judged")
+    undecided = F.col("verdict").isNull() & (F.col("rest") != "")
+    total = open_ones.agg(F.sum("n")).first()[0] or 0
+    scored = join_hot(rows.where(undecided), judged, "rest", "of", "n", total)
+    out = scored.select("id", "host", "path", "rule", F.col("own").alias("verdict"), "score")
+    rest = rows.where(~undecided).select("id", "host", "path", "rule", F.coalesce("verdict", F.lit("block")).alias("verdict"), F.lit(None).cast("double").alias("score"))
+    return out.unionByName(rest).withColumnRenamed("id", id_col)
