@@ -10,7 +10,8 @@ by it, and for each a second layout made from its text with other containers, me
 and comments, so that the trees rest on more than one site's tags.
 
 The text keeps every block of the kept nodes: character references decoded, white space made one space, joined by line
-feeds in page order. Defined cases: null or empty html gives the empty text; unclosed, stray and unknown tags never fail;
+feeds in page order. Defined cases: null or empty html gives the empty text; unclosed, stray and unknown tags never fail
+and lose no text but that of a script or style sheet; work grows with the length of a page, whatever its markup;
 rows are extracted one by one, whatever their ids; without a page to learn from, the labelling rule itself decides. Extra
 columns are ignored.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -32,11 +34,17 @@ from ._common import digest_sample, small_batches
 FIT_PAGES = 300
 TREES, DEPTH, RATE, BINS = 60, 4, 0.3, 32
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)")  # attributes up to the end of the tag
+TRIES = 8  # tags whose quotes run to the end of the page; beyond that many, its quotes don't count
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+#: Elements by how they lay out. Inner elements of formulas and drawings belong to the run around them.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input "
+                   "noscript object iframe math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover semantics annotation "
+                   "svg g path rect circle ellipse line polyline polygon text tspan defs use symbol desc".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title noscript template textarea iframe svg math object xmp".split())
+RAW = frozenset("script style title template textarea".split())  # what stands in them is no text of the page
+ENDLESS = frozenset("script style".split())  # these run to the end of the page if they aren't closed; others are passed over
 NO_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Kinds of tags and of attribute tokens: a bit for each.
@@ -106,56 +114,82 @@ class Nodes:
                 self.end[k] = len(self.parent)
             del stack[n:]
 
-        size = len(html)
-        while at < size:
-            m = TOKEN.search(html, at)
-            to = m.start() if m else size
-            if to > at:
-                run.append(html[at:to])
+        size, tries, open_of, unclosed = len(html), TRIES, Counter(), set()
+
+        def text(frm: int, to: int) -> None:
+            nonlocal linked
+            if to > frm:
+                run.append(html[frm:to])
                 if in_link:
-                    linked += to - at
-            if not m:
+                    linked += to - frm
+
+        def pop(n: int) -> None:
+            for x, _ in stack[n:]:
+                open_of[x] -= 1
+            close(n)
+
+        while at < size:
+            lt = html.find("<", at)
+            if lt < 0 or (gt := html.find(">", lt)) < 0:
+                text(at, size)
                 break
-            at = m.end()
-            ends, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-            if not name:
+            text(at, lt)
+            if html.startswith("<!--", lt):
+                end = html.find("-->", lt + 4)
+                at = end + 3 if end >= 0 else size
+                continue
+            if html[lt + 1] in "!?":
+                at = gt + 1
                 continue
-            name = name.lower()
+            m = NAME.match(html, lt, gt)
+            if not m:
+                text(lt, lt + 1)
+                at = lt + 1
+                continue
+            if html.find('"', m.end(), gt) >= 0 or html.find("'", m.end(), gt) >= 0:
+                if tries and (q := QUOTED.match(html, m.end())):
+                    gt = q.end()
+                elif tries:
+                    tries -= 1
+            at, ends, name, attributes = gt + 1, m[1], m[2].lower(), html[m.end() : gt]
             if name == "a":
                 in_link = 0 if ends else 1
             if name == "br":
                 run.append(" ")
             elif name in RAW:
-                if not ends and not attributes.endswith("/"):
-                    done = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(html, at)
-                    at = done.end() if done else size
+                if not ends and not attributes.endswith("/") and name not in unclosed:
+                    done = re.compile(f"</{name}", re.I).search(html, at)
+                    end = html.find(">", done.end()) if done else -1
+                    if end >= 0:
+                        at = end + 1
+                    elif name in ENDLESS:
+                        at = size
+                    else:
+                        unclosed.add(name)
             elif name in INLINE:
                 pass
             elif ends:
-                for n in range(len(stack) - 1, 0, -1):
-                    if stack[n][0] == name:
-                        flush()
-                        close(n)
-                        in_link = 0
-                        break
-                else:
-                    flush()
+                flush()
+                if open_of[name] > 0:
+                    pop(next(n for n in range(len(stack) - 1, 0, -1) if stack[n][0] == name))
+                    in_link = 0
             else:
                 flush()
                 in_link = 0
                 if name in VOID:
                     continue
                 if name in NO_P and stack[-1][0] == "p":
-                    close(len(stack) - 1)
+                    pop(len(stack) - 1)
                 elif name in CLOSES:
                     while stack[-1][0] in CLOSES[name] or stack[-1][0] == "p":
-                        close(len(stack) - 1)
+                        pop(len(stack) - 1)
                 bits = TAG_BIT.get(name, 0)
                 if attributes:
                     for x in ATTRIBUTE.finditer(attributes):
                         for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x[1] or x[2] or x[3] or "").lower()):
                             bits |= WORD_BIT.get(w, 0)
                 stack.append((name, self._open(stack[-1][1], len(stack), bits)))
+                open_of[name] += 1
         flush()
         close(0)
         self.pages += 1
@@ -245,7 +279,8 @@ def decode(a: dict[str, np.ndarray], z: np.ndarray) -> np.ndarray:
     yes, no = -np.logaddexp(0, -z), -np.logaddexp(0, z)
     run = np.concatenate([[0], np.cumsum(no)])
     drop, keep = run[a["end"]] - run[at], yes.copy()
-    levels = [np.flatnonzero(a["depth"] == d) for d in range(int(a["depth"].max(initial=0)) + 1)]
+    by_depth = np.argsort(a["depth"], kind="stable")
+    levels = np.split(by_depth, np.cumsum(np.bincount(a["depth"], minlength=1))[:-1])
     for rows in levels[:0:-1]:
         np.add.at(keep, parent[rows], np.maximum(keep[rows], drop[rows]))
     kept = np.zeros(n, dtype=bool)
