@@ -6,8 +6,8 @@ of words; a pair is proved once by exact merging and remembered. Only words with
 
 Texts are cut at white space, which no token crosses: normalisation, splitting and encoding are done once for each
 distinct piece, and a text's result is joined from its pieces. The special tokens of the file are recognised in the raw
-text as the library does. Caches hold at most CACHE entries and are dropped when full; that changes the time, not the
-result. The vocabulary file travels with the function, so executors need no file.
+text as the library does. Caches hold at most CACHE entries and CACHE_CHARS characters and are dropped when full; that
+changes the time, not the result. The vocabulary file travels with the function, so executors need no file.
 
 Defined cases: null text is encoded as the empty text (no token, decoded empty); rows are encoded independently, whatever
 their ids; texts of any length are encoded whole. Extra columns are ignored.
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from ._common import small_batches
 
 CACHE = 500_000
+CACHE_CHARS = 32_000_000  # characters that a cache holds at most, beside those of one batch
 END = "</w>"
 #: The file's pattern for words, for lower-case ASCII.
 ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -60,7 +61,7 @@ class WordBpe:
         self.words: dict[str, str] = {}
         self.pieces: dict[str, str] = {}
         self.old: dict[str, str] = {}
-        self.exact = 0
+        self.exact = self.piece_chars = self.word_chars = 0
 
     def merge(self, ids: list[int]) -> list[int]:
         """Exact byte-pair merging, lowest rank first and leftmost among equals."""
@@ -144,7 +145,8 @@ class WordBpe:
             if bad[k]:
                 self.exact += 1
                 p = self.merge(self.symbols(w + END))
-            self.words[w] = " ".join(map(str, p))
+            self.words[w] = ids = " ".join(map(str, p))
+            self.word_chars += len(w) + len(ids)
         if len(self.pairs) > CACHE:
             self.pairs.clear()
 
@@ -166,18 +168,21 @@ class WordBpe:
         self.encode_words({w for _, parts in todo for p in parts if isinstance(p, list) for w in p}.difference(self.words))
         words = self.words
         for piece, parts in todo:
-            self.pieces[piece] = " ".join([x for p in parts for x in ([words[w] for w in p] if isinstance(p, list) else (str(self.special[p]),))])
+            self.pieces[piece] = ids = " ".join([x for p in parts for x in ([words[w] for w in p] if isinstance(p, list) else (str(self.special[p]),))])
+            self.piece_chars += len(piece) + len(ids)
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
         """For each text its ids and its decoded text: all tokens joined by one space."""
-        if len(self.pieces) > CACHE:  # what is still in use is taken back from the old half
-            self.old, self.pieces = self.pieces, {}
-        if len(self.words) > CACHE:
+        if len(self.pieces) > CACHE or self.piece_chars > CACHE_CHARS:  # what is still in use is taken back from the old half
+            self.old, self.pieces, self.piece_chars = self.pieces, {}, 0
+        if len(self.words) > CACHE or self.word_chars > CACHE_CHARS:
             self.words.clear()
+            self.word_chars = 0
         cuts = [_pieces(t or "") for t in texts]
         new = {p for c in cuts for p in c}.difference(self.pieces)
         back = new.intersection(self.old)
         self.pieces.update(zip(back, map(self.old.__getitem__, back)))
+        self.piece_chars += sum(len(p) + len(self.old[p]) for p in back)
         self.learn(new - back)
         pieces, text = self.pieces, self.text_of
         for c in cuts:
