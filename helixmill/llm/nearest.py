@@ -1,12 +1,15 @@
 """Approximate nearest neighbours: inverted file with product-quantised residuals.
 
-Coarse centroids and the codebooks of the residuals are fitted on a bounded sample (FIT_ROWS rows of smallest digest);
-every row is indexed. A query visits its nearest lists, ranks what is in them by asymmetric distance tables (query
+Coarse centroids and the codebooks of the residuals are fitted on a bounded sample (the rows of smallest digest, FIT_ROWS
+and FIT_MOST at most where there are more lists); every row is indexed. There are as many lists as the square root of the
+number of entries, LISTS at least where that leaves LIST_ROWS entries a list; many are fitted in two levels. A query visits its nearest lists, ranks what is in them by asymmetric distance tables (query
 against codes), and the best of these are ranked again by the exact distance of the original vectors.
 
 How many lists are visited is measured at the table's own size: a sample of the queries is compared with every entry,
 and as many of the nearest lists are taken as hold the share RECALL of its true neighbours, PROBES at least.
 
+exact=True visits all lists and ranks them by the vectors themselves instead of their codes.
+
 Exact copies share one entry, whose smallest ids are kept as far as any query can ask for them (k + 1), so copies don't
 crowd out others. Lists are cut into blocks and queries into groups, so a hot list is spread over tasks. A query that
 meets fewer than k rows in its lists visits all lists instead, so it gets all candidates if there are fewer.
@@ -18,6 +21,7 @@ each distinct vector. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +33,8 @@ from pyspark.sql import functions as F
 from ._common import digest_sample, durable, small_batches, tasks, usable
 
 FIT_ROWS = 16_384
-LISTS = 256  # coarse centroids at most; one for about LIST_ROWS rows of the table
+FIT_MOST = 262_144
+LISTS = 256  # coarse centroids up to LISTS^2 entries; one for about LIST_ROWS entries at least
 LIST_ROWS = 64
 PROBES = 32  # lists visited at least
 RECALL = 0.99  # share of the sampled queries' true neighbours that the visited lists must hold
@@ -38,7 +43,8 @@ PIECES = 16
 CODES = 256
 SHORTLIST = 200
 BLOCK = 2048
-QUERIES = 128
+QUERIES = 512  # queries that a block meets at once
+TABLES = 128  # of these, as many as have their distance tables at a time
 SALTS = 64
 
 
@@ -53,6 +59,13 @@ def _kmeans(x: np.ndarray, k: int, steps: int = 12) -> np.ndarray:
     return centres
 
 
+def _two_levels(x: np.ndarray, k: int) -> np.ndarray:
+    """About k centres: those of coarse cells, each split by its share of the rows."""
+    top = _kmeans(x, int(np.sqrt(k)))
+    cell = _nearest(x, top)
+    return np.concatenate([_kmeans(own, max(1, round(k * len(own) / len(x)))) for c in range(len(top)) if len(own := x[cell == c])])
+
+
 def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)
 
@@ -65,7 +78,8 @@ class Index:
     """Coarse centroids and codebooks of the residuals' pieces."""
 
     def __init__(self, sample: np.ndarray, lists: int):
-        self.centres = _kmeans(sample, lists)
+        self.centres = _kmeans(sample, lists) if lists <= LISTS else _two_levels(sample, lists)
+        sample = sample[: 4 * FIT_ROWS]
         rest = sample - self.centres[_nearest(sample, self.centres)]
         self.cuts = [c for c in np.array_split(np.arange(sample.shape[1]), min(PIECES, sample.shape[1]))]
         self.books = [_kmeans(rest[:, c], CODES, 8) for c in self.cuts]
@@ -130,8 +144,13 @@ def _probes(entries: DataFrame, asks: np.ndarray, centres: Broadcast, k: int) ->
     return int(needed[int(np.ceil(RECALL * len(needed))) - 1]) + 1
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row for which the condition holds, itself excepted."""
+def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", lists: int | None = None, probes: int | None = None, shortlist: int = SHORTLIST, exact: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row for which the condition holds, itself excepted.
+
+    lists, probes: fixed numbers of lists and of those a query visits, instead of the ones chosen. shortlist: entries of a
+    query that are ranked by exact distance.
+    """
+    shortlist = max(shortlist, k + 1)
     spark = vectors.sparkSession
     small_batches(spark)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), queries.alias("asks"))
@@ -143,19 +162,21 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
     rows = rows.where(F.size("v") == usual[0].n)
     copies = _smallest(rows.select("id", "v").withColumn("h", F.xxhash64("v")), ["h", "v"], [F.col("id")], k + 1, F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     entries = durable(copies.groupBy("h", "v").agg(F.min("id").alias("entry"), F.sort_array(F.collect_list("id")).alias("ids")).select("entry", "ids", "v"), "entries")
-    sample = digest_sample(entries.select("entry", "v"), F.xxhash64("entry"), FIT_ROWS, "entry").select("v").collect()
     n_entries = entries.count()
-    n_lists = max(1, min(LISTS, n_entries // LIST_ROWS))
+    n_lists = lists or max(1, min(n_entries // LIST_ROWS, max(LISTS, math.isqrt(n_entries)), FIT_MOST // LIST_ROWS))
+    fit_rows = max(FIT_ROWS, min(FIT_MOST, LIST_ROWS * n_lists))
+    sample = digest_sample(entries.select("entry", "v"), F.xxhash64("entry"), fit_rows, "entry").select("v").collect()
     fitted = Index(np.array([r.v for r in sample], dtype=np.float64), n_lists)
     parts = spark.sparkContext.broadcast((fitted.centres, fitted.cuts, fitted.books))  # at most LISTS + CODES rows of a vector
     n_lists = len(fitted.centres)
-    del fitted
+    del fitted, sample
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Index.of(parts.value)
         for f in frames:
             if len(f):
-                lists, codes = index.encode(_matrix(f["v"]))
+                x = _matrix(f["v"])
+                lists, codes = (_nearest(x, index.centres), x) if exact else index.encode(x)
                 yield pd.DataFrame({"list": lists.astype(np.int32), "entry": f["entry"], "codes": [c.tobytes() for c in codes]})
 
     coded = entries.select("entry", "v").mapInPandas(encode, "list int, entry long, codes binary")
@@ -166,11 +187,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
     asked = durable(rows.where("asks").select("id", "v").dropDuplicates(["id", "v"]), "queries")
     groups = 1 + asked.count() // QUERIES
     some = digest_sample(asked.select("id", "v"), F.xxhash64("id"), SAMPLED, "id", "v").select("v").distinct().collect()
-    probes = min(PROBES, n_lists)
-    if some and n_lists > probes:
+    fixed, probes = exact or probes is not None, n_lists if exact else min(probes or PROBES, n_lists)
+    if some and n_lists > probes and not fixed:
         probes = max(probes, _probes(entries, np.array([r.v for r in some], dtype=np.float64) + 0.0, parts, k))
 
-    def shortlist(some: DataFrame, probes: int) -> DataFrame:
+    def visited(some: DataFrame, probes: int) -> DataFrame:
         def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             centres = parts.value[0]
             for f in frames:
@@ -189,20 +210,25 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
             index = Index.of(parts.value)
             for f in frames:
                 for r in f.itertuples(index=False):
-                    codes = np.frombuffer(b"".join(r.codes), np.uint8).reshape(len(r.entry), -1)
-                    tables = index.tables(np.stack(r.v).astype(np.float64), r.list)
-                    near = sum(tables[:, p, :][:, codes[:, p]] for p in range(codes.shape[1]))
-                    entry = np.asarray(r.entry)
-                    top = np.argsort(near, axis=1, kind="stable")[:, :SHORTLIST]  # entries are in order: ties to the smaller
-                    best = np.take_along_axis(near, top, 1)
-                    yield pd.DataFrame({"id": np.asarray(r.id), "salt": (r.list + 7 * r.block) % SALTS, "entry": list(entry[top]), "near": list(best)})
+                    asks, entry, packed = np.stack(r.v).astype(np.float64), np.asarray(r.entry), b"".join(r.codes)
+                    codes = np.frombuffer(packed, np.float64 if exact else np.uint8).reshape(len(entry), -1)
+                    for at in range(0, len(asks), TABLES):
+                        x = asks[at : at + TABLES]
+                        if exact:
+                            near = _squares(x, codes)
+                        else:
+                            tables = index.tables(x, r.list)
+                            near = sum(tables[:, p, :][:, codes[:, p]] for p in range(codes.shape[1]))
+                        top = np.argsort(near, axis=1, kind="stable")[:, :shortlist]  # entries are in order: ties to the smaller
+                        best = np.take_along_axis(near, top, 1)
+                        yield pd.DataFrame({"id": np.asarray(r.id)[at : at + TABLES], "salt": (r.list + 7 * r.block) % SALTS, "entry": list(entry[top]), "near": list(best)})
 
         def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 out = []
                 for some in f["parts"]:
                     entry, near = (np.concatenate([p[c] for p in some]) for c in ("entry", "near"))
-                    top = np.lexsort((entry, near))[:SHORTLIST]
+                    top = np.lexsort((entry, near))[:shortlist]
                     out.append((entry[top], near[top]))
                 if out:
                     yield pd.DataFrame({"id": f["id"], "entry": [e for e, _ in out], "near": [d for _, d in out]})
@@ -214,15 +240,15 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
             best = met.select("id", "parts").mapInPandas(merge, row)
         return best.select("id", F.explode("entry").alias("entry"))
 
-    def exact(pairs: DataFrame) -> DataFrame:
+    def ranked(pairs: DataFrame) -> DataFrame:
         both = pairs.join(asked.withColumnRenamed("v", "q"), "id").join(entries, "entry")
         square = F.aggregate(F.zip_with("q", "v", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
         each = both.select("id", F.sqrt(square).alias("score"), F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("id"))
         return each.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
 
-    first = durable(exact(shortlist(asked, probes)), "found")
+    first = durable(ranked(visited(asked, probes)), "found")
     full = first.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     short = durable(asked.join(full, "id", "left_anti"), "short")
     if n_lists > probes and short.limit(1).count():
-        first = first.join(short.select("id").distinct(), "id", "left_anti").union(exact(shortlist(short, n_lists)).select(first.columns))
+        first = first.join(short.select("id").distinct(), "id", "left_anti").union(ranked(visited(short, n_lists)).select(first.columns))
     return first.select(F.col("id").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
