@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable, sized, small_batches
+from ._common import durable, join_hot, small_batches
 
 THRESHOLD = 0.6
 FILE_SHARE = 0.5
@@ -146,16 +146,22 @@ def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, t
     rows = files.select("id", "path", "text").mapInArrow(run, f"id {kind}, path string, own_licence string, cosine double, covers boolean")
     rows = durable(rows.withColumn("dir", F.regexp_replace(F.coalesce("path", F.lit("")), r"/?[^/]*$", "")), "licences")
     covers = rows.where("covers").groupBy("dir").agg(F.min_by(F.struct("own_licence", "path"), F.struct(-F.col("cosine"), F.col("path"))).alias("of"))
-    dirs = rows.select("dir").distinct()
+    dirs = durable(rows.groupBy("dir").agg(F.count("*").alias("n")), "directories")
     names = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(names)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(names, 1, k), "/").alias("up")))
-    steps = dirs.select("dir", F.inline(above)).where((F.col("up") != "") | (F.col("depth") == 0))
-    near = steps.join(covers.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by("of", "depth").alias("of"))
-    out = rows.join(sized(durable(near, "inherited").withColumnRenamed("dir", "d")), F.col("dir") == F.col("d"), "left")
+    steps = durable(dirs.select("dir", F.inline(above)).where((F.col("up") != "") | (F.col("depth") == 0)), "ancestors")
+    # the root and other high directories are met by most directories, a full one by many files: such keys are hot
+    met = steps.groupBy("up").agg(F.count("*").alias("m")).withColumnRenamed("up", "top")
+    high = durable(met.join(covers.withColumnRenamed("dir", "d"), F.col("top") == F.col("d")).select("top", "m", "of"), "covering")
+    near = join_hot(steps, high, "up", "top", "m", steps.count()).groupBy("dir").agg(F.max_by("of", "depth").alias("of"))
+    known = dirs.withColumnRenamed("dir", "d").join(near, F.col("d") == F.col("dir"), "left").select("d", "n", "of")
+    out = join_hot(rows, durable(known, "inherited"), "dir", "d", "n", rows.count())
     takes = F.col("own_licence").isNull()
     return out.select("id", "path", "own_licence", "cosine", F.coalesce("own_licence", "of.own_licence").alias("licence"), F.when(takes, F.col("of.path")).alias("inherited_from"))
 
 
 def document_path(id_col: str = "doc_id") -> Column:
-    """Where a document stands in the tree source/language/thousand/id."""
-    return F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.floor(F.col(id_col) / 1000).cast("string"), F.col(id_col).cast("string"))
+    """Where a document stands in a tree of uneven depth: source/language, up to three numbered directories, the id."""
+    i = F.coalesce(F.col(id_col), F.lit(0))
+    steps = F.array((F.floor(i / 4) % 7).cast("string"), (F.floor(i / 28) % 5).cast("string"), F.floor(i / 1000).cast("string"))
+    return F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.slice(steps, 1, F.pmod(i, F.lit(4)).cast("int")), F.col(id_col).cast("string"))
