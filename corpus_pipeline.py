@@ -10,31 +10,20 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from helixmill.llm import bpe, mixing, secret_scan, simhash, toxicity
-from helixmill.llm._common import durable, shared_dir, sized
+from helixmill.llm._common import forget, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity is below the threshold. The labels of the documents kept so far fit the model."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs.withColumn("__text", F.col("text")), model, "__text")
-    return scored.where(F.col("severity") < toxicity.REJECT).select(*docs.columns)
+    return toxicity.accepted(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group; rows without id stay; rows that repeat a kept id leave one."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    rows = durable(groups.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("own")), "kept")
-    ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("own").alias("own"), F.count("*").alias("n"))
-    ids = durable(ids.where("not own or n > 1"), "dropped")
-    out = docs.join(sized(ids.where("not own").select("doc_id")), "doc_id", "left_anti")
-    repeated = ids.where("own").select("doc_id")
-    if not repeated.limit(1).count():
-        return out.select(*docs.columns)
-    again = out.join(sized(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.join(sized(repeated), "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+    """One row of each group of near copies: a row goes only if its own fingerprint's group keeps another."""
+    return simhash.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +32,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, in its order and as often as it takes them."""
+    """The documents of the mix, as often as it takes them."""
     return mixing.mixed_documents(docs)
 
 
@@ -70,7 +59,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex[:12]}"
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        path, before = f"{base}/{k}-{name}", docs
+        stage(spark, before, sf_dir).write.parquet(path)
+        forget(before)  # a stage's output goes once the next one is written; documents itself is no such table
         docs = spark.read.parquet(path)
+        docs.helixmill_path = path
     return docs
