@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import graph_queries, interval_queries, kernel_queries, read_queries, score_queries, seed_queries, walk_queries  # noqa: F401
+from .plans import calling_queries, graph_queries, interval_queries, kernel_queries, read_queries, score_queries, seed_queries, walk_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

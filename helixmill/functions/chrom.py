@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 
 def stem(chrom: Column) -> Column:
-    return F.regexp_replace(chrom, "^chr", "")
+    return F.regexp_replace(chrom, "^(?i:chr)", "")
 
 
 def sort_key(chrom: Column) -> Column:
-    """Struct that sorts autosomes by number, then X, Y, other names by text, and the mitochondrion last."""
-    s = stem(chrom)
-    number = s.rlike("^[0-9]+$")
-    rank = F.when(number, 0).when(s.isin("M", "MT"), 2).otherwise(1)
-    place = F.when(number, s.cast("int")).when(s == "X", 0).when(s == "Y", 1).when(s.isin("M", "MT"), 0).otherwise(2)
-    rest = F.when(number | s.isin("X", "Y", "M", "MT"), F.lit("")).otherwise(s)
+    """Struct that sorts autosomes by number, then X, Y (in either case), other names by text, and the mitochondrion last."""
+    s, up = stem(chrom), F.upper(stem(chrom))
+    number, last = s.rlike("^[0-9]+$"), up.isin("M", "MT")
+    rank = F.when(number, 0).when(last, 2).otherwise(1)
+    place = F.when(number, s.cast("int")).when(last | (up == "X"), 0).when(up == "Y", 1).otherwise(2)
+    rest = F.when(number | up.isin("X", "Y", "M", "MT"), F.lit("")).otherwise(s)
     return F.struct(rank.alias("k0"), place.alias("k1"), rest.alias("k2"))
 
 
@@ -25,4 +25,5 @@ def is_autosome(chrom: Column) -> Column:
 
 
 def is_canonical(chrom: Column) -> Column:
-    return chrom.rlike("^(chr)?([1-9][0-9]?|X|Y|M|MT)$")
+    """Autosomes, X, Y and the mitochondrion, with or without `chr`."""
+    return is_autosome(chrom) | F.upper(stem(chrom)).isin("X", "Y", "M", "MT")

@@ -21,53 +21,64 @@ from .pieces import fold
 KEY = ["chrom_a", "chrom_b", "strand_a", "strand_b"]
 
 
-def cut_at_gaps(points: DataFrame, keys: list[str], pos: str, cutoff: int, name: str) -> DataFrame:
-    """Adds a piece number: pieces of a key are separated by at least one empty bin of the cutoff's width."""
+def cut_at_gaps(points: DataFrame, keys: list[str], pos: str, cutoff: int, name: str, count: str | None = None) -> DataFrame:
+    """Adds a piece number: pieces of a key are separated by at least one empty bin of the cutoff's width. count: name of a
+    column for the number of points of the key."""
     binned = points.withColumn("__bin", F.floor(F.col(pos) / cutoff))
-    bins = binned.select(*keys, "__bin").distinct()
+    bins = binned.groupBy(*keys, "__bin").agg(F.count("*").alias("__points"))
     w = Window.partitionBy(*keys).orderBy("__bin")
     opens = F.when(F.col("__bin") - F.lag("__bin").over(w) <= 1, 0).otherwise(1)
     pieces = bins.withColumn("opens", opens).withColumn(name, F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return binned.join(pieces.drop("opens"), [*keys, "__bin"]).drop("__bin")
+    if count:
+        pieces = pieces.withColumn(count, F.sum("__points").over(Window.partitionBy(*keys)))
+    return binned.join(pieces.drop("opens", "__points"), [*keys, "__bin"]).drop("__bin")
 
 
 def first_fit(pos1: np.ndarray, pos2: np.ndarray, cutoff: float) -> np.ndarray:
-    """Cluster number of each point: the first cluster with a member nearer than the cutoff on both axes, else a new one."""
+    """Cluster number of each point: the first cluster with a member nearer than the cutoff on both axes, else a new one.
+
+    Points are kept in cells of the cutoff's width. All points of one cell are near each other, so a cell's own clusters
+    need no comparison, and of the eight around only clusters before them do.
+    """
     cluster = np.empty(len(pos1), dtype=np.int64)
+    cells: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = {}
     n = 0
-    for k in range(len(pos1)):
-        near = (np.abs(pos1[:k] - pos1[k]) < cutoff) & (np.abs(pos2[:k] - pos2[k]) < cutoff)
-        if near.any():
-            cluster[k] = cluster[:k][near].min()
-        else:
-            cluster[k], n = n, n + 1
+    around = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1) if x or y]
+    for k, (a, b) in enumerate(zip(pos1.tolist(), pos2.tolist())):
+        i, j = int(a // cutoff), int(b // cutoff)
+        own = cells.setdefault((i, j), {})
+        best = min(own, default=n)
+        for x, y in around:
+            for c, members in cells.get((i + x, j + y), {}).items():
+                if c < best and any(abs(a - p) < cutoff and abs(b - q) < cutoff for p, q in members):
+                    best = c
+        cluster[k] = best
+        own.setdefault(best, []).append((a, b))
+        n = max(n, best + 1)
     return cluster
 
 
-def cluster(points: DataFrame, params: Params = DEFAULT, order: list[str] | None = None, least: int | None = None) -> DataFrame:
+def cluster(points: DataFrame, params: Params = DEFAULT, order: list[str] | None = None, least: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """points with `cluster` (text: piece and number). Keys with fewer than `least` points are one cluster, unexamined.
 
-    order: columns that fix the sequence of points for the fold.
+    order: columns that fix the sequence of points for the fold. by: columns whose values are clustered apart. points should be a stored table: it is read several times.
     """
     order = order or ["read_id", "pos_a", "pos_b"]
     least = params.min_cluster if least is None else least
     cutoff = params.cluster_cutoff
-    counted = points.groupBy(*KEY).agg(F.count("*").alias("__n"))
-    rows = points.join(counted, KEY)
-    few = rows.where(F.col("__n") < least).drop("__n").withColumn("cluster", F.lit("all"))
-    many = rows.where(F.col("__n") >= least).drop("__n")
-    many = cut_at_gaps(many, KEY, "pos_a", cutoff, "__p1")
-    many = cut_at_gaps(many, [*KEY, "__p1"], "pos_b", cutoff, "__p2")
+    key = [*by, *KEY]
+    rows = cut_at_gaps(points, key, "pos_a", cutoff, "__p1", "__n")
+    rows = cut_at_gaps(rows, [*key, "__p1"], "pos_b", cutoff, "__p2")
     columns = points.columns
 
     def number(pdf: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
         a, b = pdf["pos_a"].to_numpy(), pdf["pos_b"].to_numpy()
         found = np.concatenate([first_fit(a[s:e], b[s:e], cutoff) for s, e in groups])
-        pdf["cluster"] = [f"{x}.{y}.{z}" for x, y, z in zip(pdf["__p1"], pdf["__p2"], found)]
+        pdf["cluster"] = ["all" if n < least else f"{x}.{y}.{z}" for n, x, y, z in zip(pdf["__n"], pdf["__p1"], pdf["__p2"], found)]
         return pdf[[*columns, "cluster"]]
 
     schema = points.select(*columns).withColumn("cluster", F.lit("")).schema
-    return fold(many, [*KEY, "__p1", "__p2"], order, number, schema).unionByName(few.select(*columns, "cluster"))
+    return fold(rows, [*key, "__p1", "__p2"], order, number, schema)
 
 
 def summarise(clusters: DataFrame, least: int = 1) -> DataFrame:
@@ -75,21 +86,6 @@ def summarise(clusters: DataFrame, least: int = 1) -> DataFrame:
     return found.where(F.col("n") >= least)
 
 
-def is_match(pos_a: Column, pos_b: Column, at_a: Column, at_b: Column, strand_a: Column, strand_b: Column, gap: Column, cutoff: float) -> Column:
-    """Whether a breakpoint matches a call: both ends nearer than the cutoff, or paid for from the read's gap on the side
-    where the strand permits."""
-
-    def short(strand: Column, pos: Column, at: Column) -> Column:
-        low = F.when((strand == "+") & (pos <= at - cutoff), at - cutoff - pos + 1)
-        return F.coalesce(low, F.when((strand == "-") & (pos >= at + cutoff), pos - at - cutoff + 1))
-
-    s1, s2 = short(strand_a, pos_a, at_a), short(strand_b, pos_b, at_b)
-    rest = gap - F.coalesce(s1, F.lit(0.0)) - F.coalesce(s2, F.lit(0.0))
-    near1, near2 = F.abs(pos_a - at_a) < cutoff, F.abs(pos_b - at_b) < cutoff
-    paid = (near1 | (s1.isNotNull() & (rest >= 0))) & (near2 | (s2.isNotNull() & (rest >= 0)))
-    return F.when(gap <= 0, near1 & near2).otherwise(paid)
-
-
 def _centre(values: list[int], forward: bool) -> int:
     top = Counter(values).most_common(2)
     if len(top) == 1 or top[0][1] > top[1][1]:
@@ -135,22 +131,24 @@ def peel(pos_a: list[int], pos_b: list[int], gaps: list[float], strands: tuple[s
     return out
 
 
-def call_breakpoints(clusters: DataFrame, params: Params = DEFAULT, least: int | None = None, order: list[str] | None = None) -> DataFrame:
-    """(KEY, cluster, call, pos_a, pos_b, support): exact breakpoints with at least `least` supporting members."""
+def call_breakpoints(clusters: DataFrame, params: Params = DEFAULT, least: int | None = None, order: list[str] | None = None, by: tuple[str, ...] = (), all_calls: bool = False) -> DataFrame:
+    """(by, KEY, cluster, call, pos_a, pos_b, support): exact breakpoints with at least `least` supporting members, or with
+    all_calls those without as well."""
     order = order or ["read_id", "pos_a", "pos_b"]
     least = params.min_cluster if least is None else least
+    names = [*by, *KEY, "cluster"]
 
     def run(pdf: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
         a, b, g = (pdf[c].tolist() for c in ("pos_a", "pos_b", "gap"))
-        keys = pdf[[*KEY, "cluster"]].to_numpy()
+        keys = list(pdf[names].itertuples(index=False, name=None))
         out = []
         for s, e in groups:
-            found = peel(a[s:e], b[s:e], g[s:e], (keys[s][2], keys[s][3]), least, params.match_cutoff)
-            out += [(*keys[s], k, x, y, len(got)) for k, (x, y, got) in enumerate(found) if len(got) >= least]
-        return pd.DataFrame(out, columns=[*KEY, "cluster", "call", "pos_a", "pos_b", "support"])
+            found = peel(a[s:e], b[s:e], g[s:e], keys[s][-3:-1], least, params.match_cutoff)
+            out += [(*keys[s], k, x, y, len(got)) for k, (x, y, got) in enumerate(found) if all_calls or len(got) >= least]
+        return pd.DataFrame(out, columns=[*names, "call", "pos_a", "pos_b", "support"])
 
-    schema = "chrom_a string, chrom_b string, strand_a string, strand_b string, cluster string, call int, pos_a long, pos_b long, support long"
-    return fold(clusters, [*KEY, "cluster"], order, run, schema)
+    kinds = "".join(f"{c} {clusters.schema[c].dataType.simpleString()}, " for c in names)
+    return fold(clusters, names, order, run, kinds + "call int, pos_a long, pos_b long, support long")
 
 
 def centres(clusters: DataFrame, cutoff: float) -> DataFrame:
@@ -180,15 +178,16 @@ def min_cluster_size(normal_cov: float, params: Params = DEFAULT) -> int:
     return max(params.min_cluster, int(params.min_bp_support * normal_cov))
 
 
-def merge_calls(calls: DataFrame, distance: int = 200) -> DataFrame:
-    """Calls of a key nearer than `distance` on both axes become one, with their supports added."""
+def merge_calls(calls: DataFrame, distance: int = 200, closed: bool = False) -> DataFrame:
+    """Calls of a key nearer than `distance` on both axes become one, with their supports added: each joins the first kept one
+    that it is near, in the order of position. closed: node a may be as far as `distance`."""
 
     def merge(pdf: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
         rows, out = pdf[[*KEY, "pos_a", "pos_b", "support"]].values.tolist(), []
         for s, e in groups:
             kept: list[list] = []
             for r in rows[s:e]:
-                near = next((x for x in kept if abs(x[4] - r[4]) < distance and abs(x[5] - r[5]) < distance), None)
+                near = next((x for x in kept if abs(x[4] - r[4]) < distance + closed and abs(x[5] - r[5]) < distance), None)
                 if near is None:
                     kept.append(r)
                 else:
@@ -197,4 +196,4 @@ def merge_calls(calls: DataFrame, distance: int = 200) -> DataFrame:
         return pd.DataFrame(out, columns=[*KEY, "pos_a", "pos_b", "support"])
 
     cut = cut_at_gaps(cut_at_gaps(calls, KEY, "pos_a", distance, "__p1"), [*KEY, "__p1"], "pos_b", distance, "__p2")
-    return fold(cut, [*KEY, "__p1", "__p2"], ["cluster", "call"], merge, "chrom_a string, chrom_b string, strand_a string, strand_b string, pos_a long, pos_b long, support long")
+    return fold(cut, [*KEY, "__p1", "__p2"], ["pos_a", "pos_b", "support"], merge, "chrom_a string, chrom_b string, strand_a string, strand_b string, pos_a long, pos_b long, support long")

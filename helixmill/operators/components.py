@@ -1,31 +1,24 @@
 """Connected components by alternating star contractions: every step is a partial aggregate and an equi-join.
 
-Each round is a written checkpoint, so lineage stays short and lost executors cost one round. Ids are longs.
+Each round is a written table, so lineage stays short and lost executors cost one round. Ids are longs.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; a local one is set only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="helixmill-"))
-    return df.checkpoint()
+from ..storage import stored
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, component): the smallest node reachable from each node of the undirected edges (u, v)."""
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable from each node of the undirected edges (u, v). Rounds go on until one
+    changes nothing."""
     u, v = F.col("u"), F.col("v")
-    now = checkpointed(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
+    now = stored(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
     seen = None
-    for _ in range(max_rounds):
-        state = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+    while True:
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
         seen = state
@@ -34,7 +27,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         large = both.where(v > u).join(low, "u").select(v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(small, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
-        now = checkpointed(rest.union(small.select("u", F.col("m").alias("v"))).distinct())
+        now = stored(rest.union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
     return now.select(u.alias("node"), v.alias("component")).union(now.select(v, v)).distinct()
 
 

@@ -57,22 +57,24 @@ def concordant_support(joints: DataFrame, alignments: DataFrame, excluded: DataF
 
     alignments: (read_id, chrom, r_start, r_end), half-open.
     """
-    probes = F.array(*[F.struct(F.lit(k).alias("probe"), p.alias("at")) for k, p in enumerate((F.col("pos1"), F.col("pos2"), F.col("pos1") - margin - 1, F.col("pos2") + margin))])
-    points = joints.select("chrom", "pos1", "pos2", F.inline(probes)).withColumn("at_to", F.col("at"))
+    reach = joints.select("chrom", "pos1", "pos2", (F.col("pos1") - margin - 1).alias("from"), (F.col("pos2") + margin).alias("to"))
     cover = alignments.where("r_end > r_start").select("read_id", "chrom", "r_start", (F.col("r_end") - 1).alias("r_last"))
-    met = range_join(points, cover, ["chrom"], ("at", "at_to"), ("r_start", "r_last"))
-    full = met.groupBy("chrom", "pos1", "pos2", "read_id").agg(F.countDistinct("probe").alias("n")).where(F.col("n") == 4)
-    both = F.explode(F.array("pos1", "pos2"))
-    out = excluded.select("read_id", "chrom", F.col("pos").alias("p")).distinct()
-    bad = full.select("chrom", "pos1", "pos2", "read_id", both.alias("p")).join(out, ["read_id", "chrom", "p"], "left_semi").select("chrom", "pos1", "pos2", "read_id").distinct()
-    kept = full.join(bad, ["chrom", "pos1", "pos2", "read_id"], "left_anti")
-    counted = kept.groupBy("chrom", "pos1", "pos2").agg(F.count("*").alias("reads"))
+    met = range_join(reach, cover, ["chrom"], ("from", "to"), ("r_start", "r_last"))
+    covers = lambda c, bit: F.when((F.col(c) >= F.col("r_start")) & (F.col(c) <= F.col("r_last")), bit).otherwise(0)
+    mask = covers("pos1", 1) + covers("pos2", 2) + covers("from", 4) + covers("to", 8)
+    full = met.groupBy("chrom", "pos1", "pos2", "read_id").agg(F.bit_or(mask).alias("seen")).where(F.col("seen") == 15)
+    used = excluded.select("read_id", "chrom", F.col("pos").alias("used")).distinct()
+    for end in ("pos1", "pos2"):
+        full = full.join(used.withColumnRenamed("used", end), ["read_id", "chrom", end], "left_anti")
+    counted = full.groupBy("chrom", "pos1", "pos2").agg(F.count("*").alias("reads"))
     return joints.join(counted, ["chrom", "pos1", "pos2"], "left").withColumn("reads", F.coalesce("reads", F.lit(0)).cast("long"))
 
 
-def statistics(sequence: DataFrame, concordant: DataFrame, discordant: DataFrame) -> DataFrame:
-    """One row per amplicon: numbers of edges and nodes, size and chromosomes. Every sequence edge has two nodes."""
+def statistics(sequence: DataFrame, concordant: DataFrame, discordant: DataFrame, intervals: DataFrame) -> DataFrame:
+    """One row per amplicon: numbers of edges and nodes, size and chromosomes. Every sequence edge has two nodes. An interval
+    has two end nodes, and each of these a source and an end edge in both directions."""
     one = sequence.groupBy("amplicon_id").agg(F.count("*").alias("n_sequence"), F.sum(F.col("end") - F.col("start") + 1).alias("size"), F.countDistinct("chrom").alias("n_chromosomes"))
-    for df, name in ((concordant, "n_concordant"), (discordant, "n_discordant")):
+    for df, name in ((concordant, "n_concordant"), (discordant, "n_discordant"), (intervals, "n_intervals")):
         one = one.join(df.groupBy("amplicon_id").agg(F.count("*").alias(name)), "amplicon_id", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
-    return one.withColumn("n_nodes", 2 * F.col("n_sequence")).withColumn("n_edges", F.col("n_sequence") + F.col("n_concordant") + F.col("n_discordant"))
+    inner = F.col("n_sequence") + F.col("n_concordant") + F.col("n_discordant")
+    return one.withColumn("n_nodes", 2 * F.col("n_sequence")).withColumn("n_nonsource", inner).withColumn("n_source", 4 * F.col("n_intervals")).withColumn("n_edges", inner + 4 * F.col("n_intervals"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 BIN = 100_000
 
 
@@ -26,7 +28,8 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: tupl
     for k in keys:
         r = r.withColumnRenamed(k, f"__{k}")
     r = _binned(r.where(F.col(rs) <= F.col(re)), F.col(rs), F.col(re), bin_size, "__rbin")
-    marked = left.withColumn("__id", F.monotonically_increasing_id()) if how == "left" else left
+    # the numbers are read by several branches, so they are written once
+    marked = stored(left.withColumn("__id", F.monotonically_increasing_id()), "numbered") if how == "left" else left
     l = _binned(marked.where(F.col(ls) <= F.col(le)), F.col(ls), F.col(le), bin_size, "__lbin")  # noqa: E741
     on = F.col("__lbin") == F.col("__rbin")
     for k in keys:

@@ -8,14 +8,15 @@ from .. import testbed as t
 from ..config import DEFAULT
 from ..operators import clustering, components, expand, graph
 from ..registry import query
+from ..storage import stored
 from .read_queries import segment_hits
 
 #: The first chromosomes whole, one amplicon each: intervals that the test reads cross.
 WHOLE = """whole AS (SELECT CAST(replace(chrom, 'chr', '') AS BIGINT) AS amplicon_id, chrom, CAST(0 AS BIGINT) AS s, CAST(9999999 AS BIGINT) AS e FROM (SELECT DISTINCT chrom FROM aln))"""
-CALLS = t.BREAKPOINTS + """,
+CALLS = t.CLUSTERS + """,
 calls AS (
-  SELECT chrom_a, chrom_b, strand_a, strand_b, MIN(pos_a) AS pos_a, MIN(pos_b) AS pos_b, COUNT(*) AS reads FROM bp
-  GROUP BY chrom_a, chrom_b, strand_a, strand_b, FLOOR(pos_a / 1000000.0), FLOOR(pos_b / 1000000.0) HAVING COUNT(*) >= 3),
+  SELECT chrom_a, chrom_b, strand_a, strand_b, MIN(pos_a) AS pos_a, MIN(pos_b) AS pos_b, COUNT(*) AS reads FROM cl
+  GROUP BY chrom_a, chrom_b, strand_a, strand_b, c HAVING COUNT(*) >= 3),
 ends AS (SELECT DISTINCT chrom_a AS chrom, pos_a AS pos, strand_a AS strand FROM calls UNION SELECT chrom_b, pos_b, strand_b FROM calls),
 """ + WHOLE + """,
 cuts AS (SELECT DISTINCT amplicon_id, w.chrom, s, e, CASE WHEN strand = '+' THEN pos ELSE pos - 1 END AS cut FROM whole w JOIN ends d ON w.chrom = d.chrom
@@ -24,9 +25,11 @@ opens AS (SELECT amplicon_id, chrom, s, e, s AS a FROM whole UNION SELECT amplic
 sequence AS (SELECT amplicon_id, chrom, a, COALESCE(LEAD(a) OVER (PARTITION BY amplicon_id, chrom ORDER BY a) - 1, e) AS b FROM opens)"""
 
 
-def calls(spark, sf_dir):
-    c = clustering.cluster(t.breakpoints(spark, sf_dir), least=1)
-    return c.groupBy(*clustering.KEY, "cluster").agg(F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"), F.count("*").alias("reads")).where("reads >= 3").drop("cluster")
+def calls(breakpoints):
+    """(KEY, pos_a, pos_b, reads) of stored breakpoints, as a written table."""
+    c = clustering.cluster(breakpoints, least=1)
+    found = c.groupBy(*clustering.KEY, "cluster").agg(F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"), F.count("*").alias("reads"))
+    return stored(found.where("reads >= 3").drop("cluster"), "calls")
 
 
 def whole(spark, sf_dir):
@@ -34,43 +37,49 @@ def whole(spark, sf_dir):
     return t.alignments(spark, sf_dir).select("chrom").distinct().select(number.alias("amplicon_id"), "chrom", F.lit(0).cast("long").alias("start"), F.lit(9_999_999).cast("long").alias("end"))
 
 
-def cuts(spark, sf_dir):
-    return graph.split_points(whole(spark, sf_dir), graph.ends_of(calls(spark, sf_dir)))
+def parts(spark, sf_dir):
+    """Breakpoints, calls, intervals and split points, each computed once and written."""
+    b = t.stored_breakpoints(spark, sf_dir)
+    c = calls(b)
+    w = stored(whole(spark, sf_dir), "whole")
+    return b, c, w, stored(graph.split_points(w, graph.ends_of(c)), "cuts")
 
 
-@query(f"WITH {CALLS} SELECT amplicon_id, chrom, cut FROM cuts")
+@query(f"WITH RECURSIVE {CALLS} SELECT amplicon_id, chrom, cut FROM cuts")
 def graph_split_points(spark, sf_dir):
-    return cuts(spark, sf_dir).select("amplicon_id", "chrom", "cut")
+    return parts(spark, sf_dir)[3].select("amplicon_id", "chrom", "cut")
 
 
-@query(f'WITH {CALLS} SELECT amplicon_id, chrom, a AS "start", b AS "end" FROM sequence')
+@query(f'WITH RECURSIVE {CALLS} SELECT amplicon_id, chrom, a AS "start", b AS "end" FROM sequence')
 def graph_sequence_edges(spark, sf_dir):
-    return graph.sequence_edges(whole(spark, sf_dir), cuts(spark, sf_dir))
+    _, _, w, cuts = parts(spark, sf_dir)
+    return graph.sequence_edges(w, cuts)
 
 
-@query(f"WITH {CALLS} SELECT amplicon_id, chrom, cut AS pos1, cut + 1 AS pos2 FROM cuts")
+@query(f"WITH RECURSIVE {CALLS} SELECT amplicon_id, chrom, cut AS pos1, cut + 1 AS pos2 FROM cuts")
 def graph_concordant_edges(spark, sf_dir):
-    return graph.concordant_edges(cuts(spark, sf_dir))
+    return graph.concordant_edges(parts(spark, sf_dir)[3])
 
 
-@query(f"""WITH {CALLS} SELECT x.amplicon_id, chrom_a, pos_a, strand_a, chrom_b, pos_b, strand_b, reads
+@query(f"""WITH RECURSIVE {CALLS} SELECT x.amplicon_id, chrom_a, pos_a, strand_a, chrom_b, pos_b, strand_b, reads
 FROM calls c JOIN whole x ON chrom_a = x.chrom AND pos_a BETWEEN x.s AND x.e JOIN whole y ON chrom_b = y.chrom AND pos_b BETWEEN y.s AND y.e WHERE x.amplicon_id = y.amplicon_id""")
 def graph_discordant_edges(spark, sf_dir):
-    return graph.discordant_edges(calls(spark, sf_dir), whole(spark, sf_dir))
+    return graph.discordant_edges(calls(t.stored_breakpoints(spark, sf_dir)), whole(spark, sf_dir))
 
 
-@query(f"""WITH {CALLS},
+@query(f"""WITH RECURSIVE {CALLS},
 q AS (SELECT amplicon_id, COUNT(*) AS n_sequence, CAST(SUM(b - a + 1) AS BIGINT) AS size, COUNT(DISTINCT chrom) AS n_chromosomes FROM sequence GROUP BY amplicon_id),
 c AS (SELECT amplicon_id, COUNT(*) AS n_concordant FROM cuts GROUP BY amplicon_id),
 d AS (SELECT x.amplicon_id, COUNT(*) AS n_discordant FROM calls JOIN whole x ON chrom_a = x.chrom JOIN whole y ON chrom_b = y.chrom WHERE x.amplicon_id = y.amplicon_id GROUP BY x.amplicon_id)
-SELECT q.*, COALESCE(n_concordant, 0) AS n_concordant, COALESCE(n_discordant, 0) AS n_discordant, 2 * n_sequence AS n_nodes, n_sequence + COALESCE(n_concordant, 0) + COALESCE(n_discordant, 0) AS n_edges
+SELECT q.*, COALESCE(n_concordant, 0) AS n_concordant, COALESCE(n_discordant, 0) AS n_discordant, CAST(1 AS BIGINT) AS n_intervals, 2 * n_sequence AS n_nodes,
+       n_sequence + COALESCE(n_concordant, 0) + COALESCE(n_discordant, 0) AS n_nonsource, CAST(4 AS BIGINT) AS n_source, n_sequence + COALESCE(n_concordant, 0) + COALESCE(n_discordant, 0) + 4 AS n_edges
 FROM q LEFT JOIN c ON q.amplicon_id = c.amplicon_id LEFT JOIN d ON q.amplicon_id = d.amplicon_id""")
 def graph_stats(spark, sf_dir):
-    w, c = whole(spark, sf_dir), cuts(spark, sf_dir)
-    return graph.statistics(graph.sequence_edges(w, c), graph.concordant_edges(c), graph.discordant_edges(calls(spark, sf_dir), w))
+    _, c, w, cuts = parts(spark, sf_dir)
+    return graph.statistics(graph.sequence_edges(w, cuts), graph.concordant_edges(cuts), graph.discordant_edges(c, w), w)
 
 
-@query(f"""WITH {CALLS},
+@query(f"""WITH RECURSIVE {CALLS},
 joint AS (SELECT DISTINCT chrom, cut AS p1, cut + 1 AS p2 FROM cuts),
 probe AS (SELECT chrom, p1, p2, UNNEST([p1, p2, p1 - 101, p2 + 100]) AS pp, UNNEST([0, 1, 2, 3]) AS k FROM joint),
 full_ AS (SELECT p.chrom, p1, p2, read_id FROM probe p JOIN aln a ON a.chrom = p.chrom AND r_start <= pp AND r_end > pp GROUP BY p.chrom, p1, p2, read_id HAVING COUNT(DISTINCT k) = 4),
@@ -78,8 +87,8 @@ used AS (SELECT read_id, chrom_a AS chrom, pos_a AS pos FROM bp UNION SELECT rea
 good AS (SELECT * FROM full_ f WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.read_id = f.read_id AND u.chrom = f.chrom AND u.pos IN (f.p1, f.p2)))
 SELECT j.chrom, p1 AS pos1, p2 AS pos2, COUNT(read_id) AS reads FROM joint j LEFT JOIN good USING (chrom, p1, p2) GROUP BY ALL""")
 def concordant_support(spark, sf_dir):
-    joints = graph.concordant_edges(cuts(spark, sf_dir)).select("chrom", "pos1", "pos2").distinct()
-    b = t.breakpoints(spark, sf_dir)
+    b, _, _, cuts = parts(spark, sf_dir)
+    joints = graph.concordant_edges(cuts).select("chrom", "pos1", "pos2").distinct()
     used = b.select("read_id", F.col("chrom_a").alias("chrom"), F.col("pos_a").alias("pos")).union(b.select("read_id", "chrom_b", "pos_b"))
     return graph.concordant_support(joints, t.alignments(spark, sf_dir), used)
 
@@ -124,7 +133,8 @@ def bfs_expand_level(spark, sf_dir):
 @query()
 def amplicon_search(spark, sf_dir):
     seeds = t.cn_segments(spark, sf_dir).where("cn >= 9.5").select("chrom", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"))
-    return expand.search(seeds, segment_hits(spark, sf_dir), t.cn_segments(spark, sf_dir), DEFAULT.min_cluster)
+    hits = stored(segment_hits(spark, sf_dir), "hits")
+    return expand.search(seeds, hits, t.cn_segments(spark, sf_dir), DEFAULT.min_cluster, alignments=stored(t.raw_alignments(spark, sf_dir), "alignments"))
 
 
 @query(f"""WITH {t.INTERVALS}
@@ -140,12 +150,13 @@ rng AS (SELECT read_id, q_start, r_start, x.chrom, x.strand, x.nm_rate, x.mapq,
         WHERE LEAST(r_end - 1, b) - GREATEST(r_start, a) + 1 >= 20 AND b - a + 1 >= 20 AND mapq >= 20 GROUP BY ALL)"""
 
 
-@query(f"""WITH {NUMBERED} SELECT amplicon_id, 'e' || lo AS first, 'e' || hi AS last, CAST(2 * (hi - lo) + 1 AS INT) AS n, COUNT(*) AS support FROM rng WHERE hi - lo >= 2 GROUP BY ALL""")
+@query(f"""WITH RECURSIVE {NUMBERED} SELECT amplicon_id, array_to_string([CASE WHEN x < hi THEN 'e' || x || ',c' || x ELSE 'e' || x END for x in range(lo, hi + 1)], ',') AS path, COUNT(*) AS support FROM rng WHERE hi - lo >= 2 GROUP BY ALL""")
 def concordant_paths(spark, sf_dir):
     from ..operators import readpaths
 
-    seq = readpaths.number_edges(graph.sequence_edges(whole(spark, sf_dir), cuts(spark, sf_dir)))
+    _, _, w, cuts = parts(spark, sf_dir)
+    seq = readpaths.number_edges(graph.sequence_edges(w, cuts))
     ids = ["read_id", "q_start", "q_end", "r_start_id", "strand", "nm_rate"]
     a = t.alignments(spark, sf_dir).withColumn("r_start_id", F.col("r_start")).withColumn("chrom_id", F.col("chrom"))
     p = readpaths.concordant_paths(a, seq, [*ids, "chrom_id"], least=20)
-    return p.groupBy("amplicon_id", F.element_at("path", 1).alias("first"), F.element_at("path", -1).alias("last"), F.size("path").alias("n")).agg(F.count("*").alias("support"))
+    return p.groupBy("amplicon_id", F.array_join("path", ",").alias("path")).agg(F.count("*").alias("support"))

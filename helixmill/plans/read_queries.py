@@ -53,50 +53,51 @@ def breakpoint_orient(spark, sf_dir):
     return t.breakpoints(spark, sf_dir).groupBy("read_id", "chrom_a", "pos_a", "strand_a", "chrom_b", "pos_b", "strand_b", "reversed").agg(F.count("*").alias("n"))
 
 
-BINS = t.BREAKPOINTS + """,
-binned AS (SELECT *, CAST(FLOOR(pos_a / 1000000.0) AS BIGINT) AS ba, CAST(FLOOR(pos_b / 1000000.0) AS BIGINT) AS bb, COUNT(*) OVER (PARTITION BY chrom_a, chrom_b, strand_a, strand_b) AS k FROM bp),
-cl AS (SELECT *, CASE WHEN k < 3 THEN -1 ELSE ba END AS ca, CASE WHEN k < 3 THEN -1 ELSE bb END AS cb FROM binned)"""
-
-
-@query(f"""WITH {BINS} SELECT chrom_a, chrom_b, strand_a, strand_b, COUNT(*) AS n, MIN(pos_a) AS min_a, MAX(pos_a) AS max_a, MIN(pos_b) AS min_b, MAX(pos_b) AS max_b
-FROM cl GROUP BY chrom_a, chrom_b, strand_a, strand_b, ca, cb""")
+@query(f"""WITH RECURSIVE {t.CLUSTERS} SELECT chrom_a, chrom_b, strand_a, strand_b, COUNT(*) AS n, MIN(pos_a) AS min_a, MAX(pos_a) AS max_a, MIN(pos_b) AS min_b, MAX(pos_b) AS max_b
+FROM cl GROUP BY chrom_a, chrom_b, strand_a, strand_b, cl""")
 def breakpoint_clusters(spark, sf_dir):
-    return clustering.summarise(clustering.cluster(t.breakpoints(spark, sf_dir))).drop("cluster")
+    return clustering.summarise(clustering.cluster(t.stored_breakpoints(spark, sf_dir))).drop("cluster")
 
 
-@query(f"""WITH {BINS} SELECT chrom_a, chrom_b, strand_a, strand_b, COUNT(*) AS n, MIN(pos_a) AS min_a, MAX(pos_a) AS max_a, MIN(pos_b) AS min_b, MAX(pos_b) AS max_b
-FROM cl GROUP BY chrom_a, chrom_b, strand_a, strand_b, ca, cb HAVING COUNT(*) >= 3""")
+@query(f"""WITH RECURSIVE {t.CLUSTERS} SELECT chrom_a, chrom_b, strand_a, strand_b, COUNT(*) AS n, MIN(pos_a) AS min_a, MAX(pos_a) AS max_a, MIN(pos_b) AS min_b, MAX(pos_b) AS max_b
+FROM cl GROUP BY chrom_a, chrom_b, strand_a, strand_b, cl HAVING COUNT(*) >= 3""")
 def breakpoint_support(spark, sf_dir):
-    return clustering.summarise(clustering.cluster(t.breakpoints(spark, sf_dir)), clustering.min_cluster_size(2.5)).drop("cluster")
+    return clustering.summarise(clustering.cluster(t.stored_breakpoints(spark, sf_dir)), clustering.min_cluster_size(2.5)).drop("cluster")
 
 
-@query(f"""WITH {BINS},
+@query(f"""WITH RECURSIVE {t.CLUSTERS},
 grp AS (SELECT *, AVG(pos_a) OVER g AS ma, AVG(pos_b) OVER g AS mb, GREATEST(STDDEV_POP(pos_a) OVER g, 2000 / 2.99) AS wa, GREATEST(STDDEV_POP(pos_b) OVER g, 2000 / 2.99) AS wb
-        FROM cl WINDOW g AS (PARTITION BY chrom_a, chrom_b, strand_a, strand_b, ca, cb)),
+        FROM cl WINDOW g AS (PARTITION BY chrom_a, chrom_b, strand_a, strand_b, cl)),
 fit AS (SELECT * FROM grp WHERE pos_a BETWEEN ma - 3 * wa AND ma + 3 * wa AND pos_b BETWEEN mb - 3 * wb AND mb + 3 * wb),
-ct AS (SELECT chrom_a, chrom_b, strand_a, strand_b, ca, cb, 'a' AS side, pos_a AS pos, COUNT(*) AS c FROM fit GROUP BY ALL
-       UNION ALL SELECT chrom_a, chrom_b, strand_a, strand_b, ca, cb, 'b', pos_b, COUNT(*) FROM fit GROUP BY ALL),
-mode AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY chrom_a, chrom_b, strand_a, strand_b, ca, cb, side ORDER BY c DESC, pos) AS r, LEAD(c) OVER (PARTITION BY chrom_a, chrom_b, strand_a, strand_b, ca, cb, side ORDER BY c DESC, pos) AS c2 FROM ct),
-med AS (SELECT chrom_a, chrom_b, strand_a, strand_b, ca, cb, MEDIAN(pos_a) AS da, MEDIAN(pos_b) AS db, COUNT(*) AS n FROM fit GROUP BY ALL)
+ct AS (SELECT chrom_a, chrom_b, strand_a, strand_b, cl, 'a' AS side, pos_a AS pos, COUNT(*) AS c FROM fit GROUP BY ALL
+       UNION ALL SELECT chrom_a, chrom_b, strand_a, strand_b, cl, 'b', pos_b, COUNT(*) FROM fit GROUP BY ALL),
+mode AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY chrom_a, chrom_b, strand_a, strand_b, cl, side ORDER BY c DESC, pos) AS r, LEAD(c) OVER (PARTITION BY chrom_a, chrom_b, strand_a, strand_b, cl, side ORDER BY c DESC, pos) AS c2 FROM ct),
+med AS (SELECT chrom_a, chrom_b, strand_a, strand_b, cl, MEDIAN(pos_a) AS da, MEDIAN(pos_b) AS db, COUNT(*) AS n FROM fit GROUP BY ALL)
 SELECT m.chrom_a, m.chrom_b, m.strand_a, m.strand_b,
        CAST(CASE WHEN x.c > COALESCE(x.c2, 0) THEN x.pos WHEN m.strand_a = '+' THEN CEIL(da) ELSE FLOOR(da) END AS BIGINT) AS pos_a,
        CAST(CASE WHEN y.c > COALESCE(y.c2, 0) THEN y.pos WHEN m.strand_b = '+' THEN CEIL(db) ELSE FLOOR(db) END AS BIGINT) AS pos_b, m.n AS n_inside
 FROM med m
-JOIN mode x ON x.side = 'a' AND x.r = 1 AND (x.chrom_a, x.chrom_b, x.strand_a, x.strand_b, x.ca, x.cb) = (m.chrom_a, m.chrom_b, m.strand_a, m.strand_b, m.ca, m.cb)
-JOIN mode y ON y.side = 'b' AND y.r = 1 AND (y.chrom_a, y.chrom_b, y.strand_a, y.strand_b, y.ca, y.cb) = (m.chrom_a, m.chrom_b, m.strand_a, m.strand_b, m.ca, m.cb)""")
+JOIN mode x ON x.side = 'a' AND x.r = 1 AND (x.chrom_a, x.chrom_b, x.strand_a, x.strand_b, x.cl) = (m.chrom_a, m.chrom_b, m.strand_a, m.strand_b, m.cl)
+JOIN mode y ON y.side = 'b' AND y.r = 1 AND (y.chrom_a, y.chrom_b, y.strand_a, y.strand_b, y.cl) = (m.chrom_a, m.chrom_b, m.strand_a, m.strand_b, m.cl)""")
 def breakpoint_centres(spark, sf_dir):
     """The centre of each cluster, all in DataFrame operations."""
-    return clustering.centres(clustering.cluster(t.breakpoints(spark, sf_dir)), 2000).drop("cluster")
+    from ..storage import stored
 
+    clusters = stored(clustering.cluster(t.stored_breakpoints(spark, sf_dir)), "clusters")
+    return clustering.centres(clusters, 2000).drop("cluster")
 
-@query()
+
+@query(f"WITH RECURSIVE {t.EXACT} SELECT chrom_a, chrom_b, strand_a, strand_b, call, pos_a, pos_b, support FROM exact")
 def breakpoint_exact_call(spark, sf_dir):
-    return clustering.call_breakpoints(clustering.cluster(t.breakpoints(spark, sf_dir)))
+    return clustering.call_breakpoints(clustering.cluster(t.stored_breakpoints(spark, sf_dir))).drop("cluster")
 
 
-@query()
+@query(f"""WITH RECURSIVE {t.EXACT}, {t.merged_sql(200, 200)} SELECT chrom_a, chrom_b, strand_a, strand_b, pos_a, pos_b, support FROM merged""")
 def breakpoint_merge(spark, sf_dir):
-    return clustering.merge_calls(breakpoint_exact_call(spark, sf_dir))
+    from ..storage import stored
+
+    calls = clustering.call_breakpoints(clustering.cluster(t.stored_breakpoints(spark, sf_dir)))
+    return clustering.merge_calls(stored(calls, "calls"))
 
 
 @query(f"""WITH {t.SEGMENTS}, {t.ALIGNMENTS},

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import testbed as t
-from ..operators import cycles, geometry, hsr, scoring
+from ..operators import cycles, geometry, scoring
 from ..registry import query
 from .walk_queries import BP_EDGES
 
@@ -66,16 +66,6 @@ def score_rollup(spark, sf_dir):
     return scoring.roll_up(m, "amplicon_id", ["weight", "segments"], "segments")
 
 
-@query(f"""WITH {t.BREAKPOINTS}, {t.SEGMENTS}, ec AS (SELECT 'chr1' AS chrom, 2000000 AS s, 4999999 AS e),
-x AS (SELECT bp.*, EXISTS (SELECT 1 FROM ec WHERE ec.chrom = chrom_a AND pos_a BETWEEN ec.s - 100 AND ec.e + 100) AS in_a, EXISTS (SELECT 1 FROM ec WHERE ec.chrom = chrom_b AND pos_b BETWEEN ec.s - 100 AND ec.e + 100) AS in_b FROM bp),
-o AS (SELECT CASE WHEN in_a THEN chrom_b ELSE chrom_a END AS chrom, CASE WHEN in_a THEN pos_b ELSE pos_a END AS pos, read_id FROM x WHERE in_a <> in_b),
-g AS (SELECT chrom, CAST(FLOOR(pos / 1000000.0) AS BIGINT) AS bin, MIN(pos) AS pos, COUNT(*) AS support FROM o GROUP BY ALL)
-SELECT g.chrom, g.pos, g.support FROM g JOIN seg ON seg.chrom = g.chrom AND g.pos BETWEEN seg_start AND seg_end WHERE support >= 3 AND cn <= 5""")
-def hsr_sites(spark, sf_dir):
-    ec = spark.createDataFrame([("chr1", 2_000_000, 4_999_999)], "chrom string, start long, end long")
-    return hsr.sites(t.breakpoints(spark, sf_dir), ec, t.cn_segments(spark, sf_dir), least=3, most_support=None)
-
-
 GENES = """gene AS (
   SELECT p_name AS gene, 'chr' || CAST(1 + p_partkey % 22 AS VARCHAR) AS chrom, p_partkey AS ord, CAST(FLOOR(p_partkey / 22.0) AS BIGINT) * 1000000 + p_size * 1000 AS s,
          CAST(FLOOR(p_partkey / 22.0) AS BIGINT) * 1000000 + p_size * 1000 + 20000 AS e FROM part)"""

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from helixmill import catalog
 
 DATA = "/root/testdata/sf0.001"
-CHEAP = ["seed_intervals", "seed_arm_cn", "interval_subtract", "coverage_raw", "read_gap_pairs", "breakpoint_clusters", "graph_sequence_edges", "amplicon_components", "cycle_to_bed", "fragment_similarity", "plot_layout", "hsr_sites"]
+CHEAP = ["seed_intervals", "seed_arm_cn", "interval_subtract", "coverage_raw", "read_gap_pairs", "breakpoint_clusters", "graph_stats", "concordant_support", "calls_within", "calls_accepted", "interval_refinement", "amplicon_components", "cycle_to_bed", "fragment_similarity", "plot_layout", "hsr_sites"]
 
 
 @pytest.fixture(scope="module")

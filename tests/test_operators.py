@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixmill.functions import chrom, cigar, intervals
-from helixmill.operators import clustering, components, coverage, cycles, expand, graph, hsr, islands, joins, paths, reads, scoring, seeding
+from helixmill.operators import clustering, components, coverage, cycles, expand, graph, islands, joins, paths, reads, scoring, seeding
 from helixmill.operators import geometry
 
 
@@ -15,11 +15,11 @@ def rows(df, *order):
 
 
 def test_chromosome_order(spark):
-    names = ["chrM", "chr10", "chrX", "chr2", "chrUn_1", "chrY", "1"]
+    names = ["chrM", "Chr10", "chrx", "chr2", "chrUn_1", "chrY", "1"]
     df = spark.createDataFrame([(n,) for n in names], "c string")
     got = [r.c for r in df.orderBy(chrom.sort_key(F.col("c"))).collect()]
-    assert got == ["1", "chr2", "chr10", "chrX", "chrY", "chrUn_1", "chrM"]
-    assert [r.c for r in df.where(chrom.is_canonical(F.col("c"))).orderBy("c").collect()] == ["1", "chr10", "chr2", "chrM", "chrX", "chrY"]
+    assert got == ["1", "chr2", "Chr10", "chrx", "chrY", "chrUn_1", "chrM"]
+    assert [r.c for r in df.where(chrom.is_canonical(F.col("c"))).orderBy("c").collect()] == ["1", "Chr10", "chr2", "chrM", "chrY", "chrx"]
 
 
 def test_cigar(spark):
@@ -136,8 +136,8 @@ def test_graph_pieces(spark):
     a = spark.createDataFrame([(1, "c", -200, 300), (2, "c", -200, 300), (3, "c", 0, 90)], "read_id long, chrom string, r_start long, r_end long")
     used = spark.createDataFrame([(2, "c", 20)], "read_id long, chrom string, pos long")
     assert rows(graph.concordant_support(graph.concordant_edges(cuts).drop("amplicon_id"), a, used)) == [("c", 19, 20, 1), ("c", 49, 50, 2)]
-    s = graph.statistics(graph.sequence_edges(i, cuts), graph.concordant_edges(cuts), graph.discordant_edges(b, i)).first()
-    assert (s.n_sequence, s.n_concordant, s.n_discordant, s.n_nodes, s.n_edges, s["size"]) == (3, 2, 1, 6, 6, 100)
+    s = graph.statistics(graph.sequence_edges(i, cuts), graph.concordant_edges(cuts), graph.discordant_edges(b, i), i).first()
+    assert (s.n_sequence, s.n_concordant, s.n_discordant, s.n_nodes, s.n_nonsource, s.n_source, s.n_edges, s["size"]) == (3, 2, 1, 6, 6, 4, 10, 100)
 
 
 def test_paths(spark):
@@ -196,10 +196,9 @@ def test_search_has_no_deepest_level(spark, monkeypatch):
     from unittest.mock import MagicMock
 
     left = iter([1] * 60 + [0])  # rows a level adds: sixty levels and an empty one, without running them
-    for name in ("merge_intervals", "next_level", "refine"):
+    for name in ("merge_intervals", "next_level", "padded", "range_join"):
         monkeypatch.setattr(expand, name, MagicMock())
-    monkeypatch.setattr(joins, "range_join", MagicMock())
-    monkeypatch.setattr(expand, "checkpointed", lambda df: df)
+    monkeypatch.setattr(expand, "stored", lambda df, name: df)
     level = MagicMock()
     level.select.return_value.distinct.return_value.limit.return_value.count.side_effect = lambda: next(left)
     monkeypatch.setattr(expand, "subtract", lambda *a: level)
@@ -207,11 +206,93 @@ def test_search_has_no_deepest_level(spark, monkeypatch):
     assert next(left, None) is None
 
 
+ALN = "read_id long, q_start long, q_end long, chrom string, r_start long, r_end long, strand string, mapq int, nm_rate double"
+
+
+def aln(spark, *rows):
+    """Alignments (read, q_start, q_end, chrom, r_start, r_end, strand, mapq)."""
+    return spark.createDataFrame([(*r, 0.0) for r in rows], ALN)
+
+
 def test_hsr_needs_one_end_inside(spark):
-    b = spark.createDataFrame([(k, "c", 50, "+", "d", 7000 + k, "-") for k in range(3)] + [(9, "c", 50, "+", "c", 60, "-")], "read_id long, chrom_a string, pos_a long, strand_a string, chrom_b string, pos_b long, strand_b string")
-    amp = spark.createDataFrame([("c", 0, 100)], "chrom string, start long, end long")
-    seg = spark.createDataFrame([("d", 0, 9999, 2.0)], "chrom string, seg_start long, seg_end long, cn double")
-    assert rows(hsr.sites(b, amp, seg, least=3)) == [("d", 7000, 3)]
+    rows = [x for k in range(4) for x in ((k, 0, 50, "chr1", 10, 50, "+", 60), (k, 50, 99, "chr2", 7000 + k % 2, 7100, "+", 60))]
+    rows += [(9, 0, 50, "chr1", 10, 50, "+", 60), (9, 50, 99, "chr1", 70, 90, "+", 60), (10, 0, 50, "chr1", 10, 50, "+", 60), (10, 50, 99, "chrUn_x", 7, 90, "+", 60)]
+    amp = spark.createDataFrame([("chr1", 0, 100)], "chrom string, start long, end long")
+    seg = lambda cn: spark.createDataFrame([("chr2", 0, 9999, cn)], "chrom string, seg_start long, seg_end long, cn double")
+    from helixmill.operators import hsr as h
+
+    got = h.sites(aln(spark, *rows), amp, seg(2.0), 8.0).collect()
+    # positions 7000 and 7001 are as frequent: the median, rounded down on the reverse strand
+    assert [(r.chrom, r.pos, r.support) for r in got] == [("chr2", 7000, 4)]
+    assert h.sites(aln(spark, *rows), amp, seg(6.0), 8.0).collect() == []  # amplified there
+    assert h.sites(aln(spark, *rows), amp, seg(2.0), 1.5).collect() == []  # more support than 2.5 times the coverage
+    sizes = spark.createDataFrame([("chr2", 30_000), ("chr1", 10_000)], "chrom string, size long")
+    assert rows_of(h.genome_axis(sizes)) == [("chr1", 0.0, 25.0, 12.5), ("chr2", 25.0, 100.0, 62.5)]
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_pairs_within_an_interval(spark):
+    own = spark.createDataFrame([(0, "c", 0, 999), (1, "c", 900, 5000)], "idx int, chrom string, start long, end long")
+    a = aln(
+        spark,
+        (1, 0, 100, "c", 100, 200, "+", 60), (1, 100, 200, "c", 201, 300, "+", 60),  # follows on the reference: no breakpoint
+        (2, 0, 100, "c", 100, 200, "+", 60), (2, 100, 200, "c", 700, 800, "+", 60),  # a gap of 500 that the read lacks
+        (3, 0, 100, "c", 100, 200, "+", 60), (3, 100, 200, "c", 300, 201, "-", 60),  # other strand
+        (4, 0, 100, "c", 100, 200, "+", 60), (4, 100, 200, "c", 1500, 1600, "+", 60),  # other interval
+        (5, 0, 100, "c", 100, 200, "+", 60), (5, 100, 200, "c", 990, 950, "-", 60),  # both intervals hold it: the first counts
+        (6, 0, 100, "c", 100, 200, "+", 60), (6, 100, 200, "c", 1050, 950, "-", 60),  # a reverse one must be inside, and the first isn't around it
+        (7, 0, 100, "c", 100, 200, "+", 60), (7, 100, 150, "c", 400, 450, "+", 5), (7, 150, 250, "c", 900, 1000, "+", 60),  # around a bad one, same strand
+        (8, 0, 100, "c", 100, 200, "+", 60), (8, 100, 150, "c", 400, 450, "+", 5), (8, 150, 250, "c", 252, 230, "-", 60),  # other strand, no gap
+    )
+    from helixmill.operators import calling
+
+    assert [(r.read_id, r.i, r.j) for r in calling.pairs_within(a, own).orderBy("read_id").collect()] == [(2, 0, 1), (3, 0, 1), (5, 0, 1), (7, 0, 2)]
+
+
+def test_pairs_between_two_intervals(spark):
+    from helixmill.operators import calling
+
+    link = spark.createDataFrame([(1, "c", 0, 999, "d", 0, 999), (2, "c", 0, 999, "e", 0, 9)], "link_id int, chrom_n string, start_n long, end_n long, chrom_o string, start_o long, end_o long")
+    a = aln(
+        spark,
+        (1, 0, 100, "c", 100, 200, "+", 60), (1, 100, 200, "d", 100, 200, "+", 60),
+        (2, 0, 100, "d", 100, 200, "+", 60), (2, 50, 99, "x", 1, 9, "+", 3), (2, 100, 200, "c", 200, 100, "-", 60),
+        (3, 0, 100, "c", 100, 200, "+", 60), (3, 100, 200, "c", 500, 600, "+", 60),
+        (4, 0, 200, "c", 100, 200, "+", 60), (4, 90, 200, "d", 100, 200, "+", 60),  # overlap on the read
+        (5, 0, 100, "c", 100, 200, "+", 60), (5, 100, 200, "d", 100, 200, "+", 19),
+    )
+    assert [(r.link_id, r.read_id, r.i, r.j) for r in calling.pairs_between(a, link).orderBy("read_id").collect()] == [(1, 1, 0, 1), (1, 2, 0, 2)]
+
+
+def test_small_deletions(spark):
+    from helixmill.operators import calling
+
+    r = spark.createDataFrame([(1, "c", 1000, "100M700D50M600D5M", 60), (2, "c", 1000, "100M700D50M", 19), (3, "c", 90_000, "100M700D50M", 60)], "read_id long, chrom string, pos long, cigar string, mapq int")
+    i = spark.createDataFrame([("c", 0, 1500), ("c", 1800, 9000)], "chrom string, start long, end long")
+    got = [(x.read_id, x.pos_a, x.strand_a, x.pos_b, x.strand_b) for x in calling.small_deletions(r, i).collect()]
+    assert got == [(1, 1800, "-", 1100, "+")] * 2  # once for each interval
+
+
+def test_refinement_breaks_and_clamps(spark):
+    seg = spark.createDataFrame([("c", k, k * 400_000, k * 400_000 + 399_999, 9.0 if k == 9 else 2.0) for k in range(12)], "chrom string, seg_idx long, seg_start long, seg_end long, cn double")
+    ends = spark.createDataFrame([(1, "c", 50_000), (1, "c", 250_000), (1, "c", 700_000), (1, "c", 3_650_000), (2, "c", 4_799_000)], "g int, chrom string, pos long")
+    got = rows_of(expand.refined(ends, seg, ["g"]))
+    # 50,000 and 250,000 stay together, 700,000 is over 300,000 off; an amplified end takes its segment; all stay on segments
+    assert got == [(1, "c", 0, 350_000), (1, "c", 600_000, 800_000), (1, "c", 3_500_000, 4_099_999), (2, "c", 4_699_000, 4_799_999)]
+
+
+def test_called_search_finds_the_linked_interval(spark):
+    seg = spark.createDataFrame([("c", k, k * 100_000, k * 100_000 + 99_999, 2.0) for k in range(60)], "chrom string, seg_idx long, seg_start long, seg_end long, cn double")
+    a = aln(spark, *[x for k in range(4) for x in ((k, 0, 100, "c", 1_020_000, 1_050_000, "+", 60), (k, 100, 200, "c", 4_030_000, 4_060_000, "+", 60))])
+    seeds = spark.createDataFrame([("c", 1_000_000, 1_099_999)], "chrom string, start long, end long")
+    h = reads.segment_hits(a, seg)
+    hits = h.select("read_id", "chrom", F.explode(F.array("idx_start", "idx_end")).alias("idx")).distinct()
+    got = rows(expand.search(seeds, hits, seg, 3, alignments=a))
+    # the second interval leads back to the first, whose surroundings are new to it
+    assert got == [("c", 950_000, 1_150_000), ("c", 3_930_000, 4_130_000)]
 
 
 def test_read_paths(spark):
