@@ -6,3 +6,5 @@ from pyspark import cloudpickle
 
 # Executors need not have this package installed: functions it hands to Spark travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+__version__ = "1.0.0"

@@ -5,7 +5,7 @@ Each round is a written table, so lineage stays short and lost executors cost on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
@@ -42,3 +42,20 @@ def merge_connected(intervals: DataFrame, links: DataFrame) -> DataFrame:
     found = connected_components(both.select("u", "v"))
     out = intervals.join(found, F.col("amplicon_id") == F.col("node"), "left")
     return out.withColumn("amplicon_id", F.coalesce("component", "amplicon_id")).drop("node", "component")
+
+
+def merge_touching(intervals: DataFrame, connections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Intervals (interval_id, amplicon_id, chrom, start, end) that overlap or abut become one, with the smallest ids of its parts;
+    connections (interval_a, interval_b, breakpoints: array) lead to the merged ones, those of the same pair joined."""
+    w = Window.partitionBy("chrom").orderBy("start", "end", "interval_id")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = intervals.withColumn("opens", F.when(before.isNull() | (F.col("start") > before + 1), 1).otherwise(0))
+    rows = rows.withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = rows.groupBy("chrom", "run").agg(F.min("interval_id").alias("interval_id"), F.min("amplicon_id").alias("amplicon_id"), F.min("start").alias("start"), F.max("end").alias("end"))
+    names = rows.select("chrom", "run", F.col("interval_id").alias("old")).join(merged.select("chrom", "run", "interval_id"), ["chrom", "run"]).select("old", F.col("interval_id").alias("new"))
+    out = connections
+    for side in ("interval_a", "interval_b"):
+        out = out.join(names.withColumnRenamed("old", side), side).drop(side).withColumnRenamed("new", side)
+    low, high = F.least("interval_a", "interval_b"), F.greatest("interval_a", "interval_b")
+    joined = out.groupBy(low.alias("interval_a"), high.alias("interval_b")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("breakpoints")))).alias("breakpoints"))
+    return merged.select("interval_id", "amplicon_id", "chrom", "start", "end"), joined

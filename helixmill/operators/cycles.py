@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.chrom import sort_key
+
 
 def merge_steps(segments: DataFrame) -> DataFrame:
     """Consecutive segments that abut in the direction of travel become one (cycle_id, ord, chrom, start, end, strand).
@@ -45,6 +47,23 @@ def to_bed(segments: DataFrame, cycles: DataFrame, wrap: bool = True) -> DataFra
     return rows.select("cycle_id", F.row_number().over(Window.partitionBy("cycle_id").orderBy("ord")).alias("ord"), "chrom", "start", "end", "strand", "iscyclic", "weight")
 
 
+def rotate_to_least(rows: DataFrame) -> DataFrame:
+    """Segments of to_bed() with those of cycles turned so that the smallest (chromosome, start) comes first; a cycle that runs on
+    the reverse strand there is turned around. A path whose last segment is the smaller end is reversed, and its strands are
+    turned if it would begin on the reverse one."""
+    w = Window.partitionBy("cycle_id")
+    place = F.struct(sort_key(F.col("chrom")).alias("k"), F.col("start").alias("s"))
+    one = F.struct("ord", "strand", place.alias("at"))
+    rows = rows.withColumn("least", F.min_by(one, F.struct(place, F.col("end"), F.col("ord"))).over(w)).withColumn("n", F.count("*").over(w))
+    rows = rows.withColumn("head", F.min_by(one, "ord").over(w)).withColumn("tail", F.max_by(one, "ord").over(w))
+    around = F.col("iscyclic") & (F.col("least.strand") == "-")
+    back = ~F.col("iscyclic") & (F.col("tail.at") < F.col("head.at"))
+    n, at, first = F.col("n"), F.col("ord"), F.col("least.ord")
+    turned = F.when(around, F.pmod(first - at, n) + 1).when(F.col("iscyclic"), F.pmod(at - first, n) + 1).when(back, n + 1 - at).otherwise(at)
+    strand = F.when(around | (back & (F.col("tail.strand") == "-")), F.translate("strand", "+-", "-+")).otherwise(F.col("strand"))
+    return rows.withColumn("ord", turned.cast("int")).withColumn("strand", strand).drop("least", "n", "head", "tail")
+
+
 def rank(cycles: DataFrame, group: str = "amplicon_id") -> DataFrame:
     """Cycles numbered by weight, heaviest first; ties by id."""
     return cycles.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("weight"), "cycle_id")))

@@ -6,7 +6,7 @@ the sequence edge at its position, a reverse end opens one there.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import range_join
@@ -78,3 +78,23 @@ def statistics(sequence: DataFrame, concordant: DataFrame, discordant: DataFrame
         one = one.join(df.groupBy("amplicon_id").agg(F.count("*").alias(name)), "amplicon_id", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
     inner = F.col("n_sequence") + F.col("n_concordant") + F.col("n_discordant")
     return one.withColumn("n_nodes", 2 * F.col("n_sequence")).withColumn("n_nonsource", inner).withColumn("n_source", 4 * F.col("n_intervals")).withColumn("n_edges", inner + 4 * F.col("n_intervals"))
+
+
+def faults(sequence: DataFrame, concordant: DataFrame, discordant: DataFrame) -> DataFrame:
+    """(amplicon_id, kind, fault) of edges that a graph can't have: sequence edges that end before they start or overlap another
+    of their chromosome, concordant edges whose ends aren't one base apart or aren't ends of pieces, and discordant edges
+    with an end that is no end of a piece."""
+    w = Window.partitionBy("amplicon_id", "chrom").orderBy("start", "end")
+    rows = sequence.withColumn("before", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    bad = F.when(F.col("end") < F.col("start"), "ends before it starts").when(F.col("before") >= F.col("start"), "overlaps another")
+    out = rows.withColumn("fault", bad).where("fault is not null").select("amplicon_id", F.lit("sequence").alias("kind"), "fault")
+    nodes = sequence.select("amplicon_id", "chrom", F.inline(F.array(F.struct(F.col("start").alias("pos"), F.lit("-").alias("strand")), F.struct(F.col("end").alias("pos"), F.lit("+").alias("strand")))))
+
+    def loose(edges: DataFrame, kind: str, ends: list[tuple[Column, Column, Column]]) -> DataFrame:
+        each = edges.select("amplicon_id", F.inline(F.array(*[F.struct(a.alias("chrom"), b.alias("pos"), c.alias("strand")) for a, b, c in ends])))
+        return each.join(nodes, ["amplicon_id", "chrom", "pos", "strand"], "left_anti").select("amplicon_id", F.lit(kind).alias("kind"), F.lit("has an end at no piece").alias("fault"))
+
+    c = F.col
+    out = out.union(concordant.where("pos2 <> pos1 + 1").select("amplicon_id", F.lit("concordant"), F.lit("its ends aren't neighbours")))
+    out = out.union(loose(concordant, "concordant", [(c("chrom"), c("pos1"), F.lit("+")), (c("chrom"), c("pos2"), F.lit("-"))]))
+    return out.union(loose(discordant, "discordant", [(c(f"chrom_{s}"), c(f"pos_{s}"), c(f"strand_{s}")) for s in "ab"]))

@@ -27,6 +27,17 @@ def edge_counts(path: Column) -> Column:
     return F.transform(F.array_sort(F.array_distinct(path)), lambda e: F.struct(e.alias("edge"), F.size(F.filter(path, lambda x: x == e)).alias("n")))
 
 
+def as_text(path: Column) -> Column:
+    """A path, array of struct(edge, strand), as text of edges, strands and how often the path passes the edge: e2+:1,c2-:1,..."""
+    return F.array_join(F.transform(path, lambda x: F.concat(x["edge"], x["strand"], F.lit(":"), F.size(F.filter(path, lambda y: y["edge"] == x["edge"])).cast("string"))), ",")
+
+
+def longest_unsatisfied(found: DataFrame, by: list[str]) -> DataFrame:
+    """Of the candidate orders of a walk (by, candidate, n_paths, length, support: the path constraints it leaves unsatisfied, their
+    total length and support) the one that leaves the fewest, then the shortest, then the least supported; ties by candidate."""
+    return found.groupBy(*by).agg(F.min_by("candidate", F.struct("n_paths", "length", "support", "candidate")).alias("candidate"))
+
+
 def support(paths: DataFrame, *by: str) -> DataFrame:
     """(by, path, support): number of reads of (by, read_id, path) for each path up to reversal."""
     return paths.groupBy(*by, canonical(F.col("path")).alias("path")).agg(F.count("*").alias("support"))

@@ -83,6 +83,25 @@ def ordered_nodes(chrom1: Column, pos1: Column, strand1: Column, chrom2: Column,
     return F.least(x, y), F.greatest(x, y)
 
 
+def is_close(chrom_a: str, pos_a: str, strand_a: str, chrom_b: str, pos_b: str, strand_b: str, distance: int = 200) -> Column:
+    """Whether two breakpoints, with column prefixes x_ and y_, have the same chromosomes and strands and ends nearer than
+    `distance`."""
+    same = [F.col(f"x_{c}") == F.col(f"y_{c}") for c in (chrom_a, chrom_b, strand_a, strand_b)]
+    near = [F.abs(F.col(f"x_{p}") - F.col(f"y_{p}")) < distance for p in (pos_a, pos_b)]
+    return same[0] & same[1] & same[2] & same[3] & near[0] & near[1]
+
+
+def is_self_loop(edge: str = "") -> Column:
+    """Whether an edge (chrom1, pos1, strand1, chrom2, pos2, strand2) joins a node with itself."""
+    e = lambda c: F.col(f"{edge}{c}")
+    return (e("chrom1") == e("chrom2")) & (e("pos1") == e("pos2")) & (e("strand1") == e("strand2"))
+
+
+def joins_pieces(chrom1: Column, pos1: Column, pos2: Column, chrom: Column, end: Column, start: Column) -> Column:
+    """Whether an edge leads from the end of one sequence edge to the start of another."""
+    return (chrom1 == chrom) & (pos1 == end) & (pos2 == start)
+
+
 def edit_distance(alignments: DataFrame, by: list[str]) -> DataFrame:
     """Mean and population deviation of the edit rate."""
     return alignments.groupBy(*by).agg(F.count("*").alias("n"), F.avg("nm_rate").alias("mean"), F.stddev_pop("nm_rate").alias("std"))

@@ -53,6 +53,13 @@ def copy_number_ratio(cycles: DataFrame, edges: DataFrame, n: int = 1, least_cn:
     return ranked.join(F.broadcast(total)).select("cycle_id", (F.col("w") / F.col("total")).alias("ratio"))  # one row
 
 
+def top_ratio(cycles: DataFrame, edges: DataFrame, n: int = 1, least_cn: float = 5.0) -> DataFrame:
+    """(ratio): the share of the n largest cyclic cycles together; one if there are no more than n cycles at all."""
+    every = copy_number_ratio(cycles, edges, n, least_cn).agg(F.sum("ratio").alias("ratio"))
+    count = cycles.where("iscyclic").agg(F.countDistinct("cycle_id").alias("k"))  # one row, as is the other
+    return every.join(F.broadcast(count)).select(F.when(F.col("k") <= n, 1.0).otherwise(F.coalesce("ratio", F.lit(0.0))).alias("ratio"))
+
+
 def matched_edges(truth: DataFrame, found: DataFrame, tolerance: int) -> DataFrame:
     """True edges (chrom1, pos1, strand1, chrom2, pos2, strand2) with a found one near, in either direction."""
     keys = ["chrom1", "strand1", "chrom2", "strand2"]

@@ -151,6 +151,11 @@ def fewest(g: Graph, pool: list[Walk], cover: float = 0.9, constraints: list[Cou
     return chosen
 
 
+def needs_greedy(n_edges: int, n_nodes: int, n_constraints: int, k: int, most_edges: int = 100, most_variables: int = 10_000) -> bool:
+    """Whether a graph is too large for the fewest-walks search with k walks: by its edges, or the variables that takes."""
+    return n_edges > most_edges or 3 * k + 3 * k * n_edges + 2 * k * n_nodes + k * n_constraints >= most_variables
+
+
 def faults(g: Graph, walks: list[tuple[Walk, float]]) -> list[str]:
     """Rules that walks break: alternation, closure, bounds, and copy numbers (sums over walks)."""
     out, n = [], len(g.sequence)

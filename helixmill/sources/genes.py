@@ -30,6 +30,14 @@ def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("gene <> ''").groupBy("gene").agg(F.min("ord").alias("ord"))
 
 
+def merge_gene_lists(spark: SparkSession, names: list[str], listed: DataFrame | None = None) -> DataFrame:
+    """Distinct genes (gene, ord): the names in their order, then those of a list (gene, ord) that aren't among them."""
+    rows = spark.createDataFrame([(g, k) for k, g in enumerate(names)], "gene string, ord long")
+    if listed is not None:
+        rows = rows.union(listed.select("gene", (F.col("ord") + len(names)).cast("long")))
+    return rows.groupBy("gene").agg(F.min("ord").alias("ord"))
+
+
 def gtf_to_refgene(gtf: DataFrame, names: DataFrame) -> DataFrame:
     """(gene, chrom, strand, start, end, exon_starts, exon_ends) from GTF rows (seqname, feature, start, end, strand,
     attributes, ord) and names (accession, chrom): pseudogenes dropped, first transcript, 0-based half-open."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +19,22 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def header_contigs(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, size) of the canonical contigs in a SAM header."""
+def read_contig_list(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom) of a list of further contigs: the first column, lines beginning with # left out."""
+    rows = spark.read.text(path).select(F.trim("value").alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
+    return rows.select(F.split("line", r"\s+")[0].alias("chrom")).distinct()
+
+
+def header_contigs(spark: SparkSession, path: str, extra: DataFrame | None = None) -> DataFrame:
+    """(chrom, size) of the canonical contigs in a SAM header, and of those in the list `extra` (chrom)."""
     from ..functions.chrom import is_canonical
 
     rows = spark.read.text(path).where(F.col("value").startswith("@SQ"))
     rows = rows.select(F.regexp_extract("value", r"\tSN:([^\t]*)", 1).alias("chrom"), F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("long").alias("size"))
-    return rows.where(is_canonical(F.col("chrom")))
+    if extra is None:
+        return rows.where(is_canonical(F.col("chrom")))
+    named = rows.join(extra.select("chrom").distinct().withColumn("__more", F.lit(True)), "chrom", "left")
+    return named.where(is_canonical(F.col("chrom")) | F.col("__more")).drop("__more")
 
 
 def primary_lengths(records: DataFrame) -> DataFrame:
@@ -43,11 +54,26 @@ def counts_for_coverage(records: DataFrame, all_flags: bool = True, min_mapq: in
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id, length, mean_quality) of four-line records. Line numbers are within a file, which is read as one text."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("line"))
-    rows = text.select("line", F.explode(F.sequence(F.lit(0), F.floor(F.size("line") / 4) - 1)).alias("k")).where("k >= 0")
-    at = lambda n: F.element_at("line", (4 * F.col("k") + n + 1).cast("int"))
-    rows = rows.select(F.regexp_extract(at(0), r"^@(\S+)", 1).alias("read_id"), at(1).alias("seq"), at(3).alias("qual"))
+    """(read_id, length, mean_quality) of four-line records. A record ends where a line begins with @ after the quality line,
+    so files are split anywhere between records and no file is read as one row."""
+    lines = spark.read.option("lineSep", "\n@").text(path).select(F.split("value", "\n").alias("line"))
+    # a quality line may begin with @ too: then the record has too few lines, and the next row has what is missing
+    whole = lines.where((F.size("line") >= 4) & F.element_at("line", 3).startswith("+"))
+    at = lambda n: F.element_at("line", n)
+    rows = whole.select(F.regexp_extract(at(1), r"^@?(\S+)", 1).alias("read_id"), at(2).alias("seq"), at(4).alias("qual"))
+    broken = lines.where((F.size("line") == 3) & F.element_at("line", 3).startswith("+"))
+    return _scored(rows).unionByName(_scored(_joined(spark, path)) if broken.limit(1).count() else _scored(rows.limit(0)))
+
+
+def _joined(spark: SparkSession, path: str) -> DataFrame:
+    """Records whose quality line begins with @, from the lines around them in file order."""
+    rows = spark.read.option("lineSep", "\n@").text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.split("value", "\n").alias("line"))
+    w = Window.partitionBy("file").orderBy("at")
+    both = rows.withColumn("more", F.lead("line").over(w)).where((F.size("line") == 3) & F.element_at("line", 3).startswith("+"))
+    return both.select(F.regexp_extract(F.element_at("line", 1), r"^@?(\S+)", 1).alias("read_id"), F.element_at("line", 2).alias("seq"), F.concat(F.lit("@"), F.element_at("more", 1)).alias("qual"))
+
+
+def _scored(rows: DataFrame) -> DataFrame:
     score = F.aggregate(F.split("qual", ""), F.lit(0).cast("long"), lambda s, x: s + F.when(x == "", 0).otherwise(F.ascii(x) - 33))
     return rows.select("read_id", F.length("seq").alias("length"), (score / F.length("qual")).alias("mean_quality"))
 
@@ -64,6 +90,17 @@ def fingerprint(files: DataFrame) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
+def cached(spark: SparkSession, files: DataFrame, scan: Callable[[], DataFrame], folder: str) -> DataFrame:
+    """scan(), kept as Parquet in `folder` under the fingerprint of the files (binaryFile rows): read again as long as path,
+    size and time of all files are the same."""
+    key = fingerprint(files).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws("|", "path", "size", "mtime"))), ";"), 256)).first()[0]
+    path = f"{folder.rstrip('/')}/{key}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+        scan().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def numbered(lines: DataFrame) -> DataFrame:
     """Lines with their order within a file."""
     return lines.withColumn("ord", F.row_number().over(Window.partitionBy("file").orderBy("at")))

@@ -34,8 +34,10 @@ def read_bed3(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ratios(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, start, end, cn, middle) of a `.cnr` file, header skipped."""
+    """(chrom, number, start, end, cn, middle) of a `.cnr` file, header skipped; number: X counts as 23 and Y as 24."""
     f = F.col("f")
     cn = 2 * F.pow(F.lit(2.0), f[5].cast("double"))
     start, end = f[1].cast("long"), f[2].cast("long")
-    return _rows(spark, path).select(f[0].alias("chrom"), start.alias("start"), end.alias("end"), cn.alias("cn"), ((start + end) / 2).alias("middle"))
+    name = F.regexp_replace(f[0], "^chr", "")
+    number = F.when(name == "X", 23).when(name == "Y", 24).otherwise(F.expr("try_cast(regexp_replace(f[0], '^chr', '') as int)"))
+    return _rows(spark, path).select(f[0].alias("chrom"), number.alias("number"), start.alias("start"), end.alias("end"), cn.alias("cn"), ((start + end) / 2).alias("middle"))
