@@ -19,6 +19,15 @@ def raw_coverage(intervals: DataFrame, blocks: DataFrame, keys: list[str], bin_s
     return intervals.join(sums, ids, "left").withColumn("bases", F.coalesce("bases", F.lit(0)).cast("long"))
 
 
+def read_counts(intervals: DataFrame, alignments: DataFrame, keys: list[str], bin_size: int = BIN) -> DataFrame:
+    """intervals (keys, start, end closed, ...) with `reads`: half-open alignments (keys, r_start, r_end) that reach into them."""
+    ids = intervals.columns
+    closed = alignments.where("r_end > r_start").select(*keys, "r_start", (F.col("r_end") - 1).alias("r_last"))
+    hits = range_join(intervals, closed, keys, ("start", "end"), ("r_start", "r_last"), bin_size=bin_size)
+    counted = hits.groupBy(*ids).agg(F.count("*").alias("reads"))
+    return intervals.join(counted, ids, "left").withColumn("reads", F.coalesce("reads", F.lit(0)).cast("long"))
+
+
 def windows(intervals: DataFrame, size: int) -> DataFrame:
     """Cut closed intervals into windows of `size` bases from their start; the last may be shorter."""
     starts = F.explode(F.sequence(F.col("start"), F.col("end"), F.lit(size).cast("long")))

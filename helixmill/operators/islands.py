@@ -1,7 +1,5 @@
-"""Gaps and islands over intervals, in two rounds so that no chromosome meets in one task.
-
-Rows are merged inside bins of the start first; the few islands that are left are merged across bins. The merge is
-associative, so both rounds are the same step. An interval longer than a bin is still in the bin of its start.
+"""Gaps and islands over intervals, so that no chromosome meets in one task: rows are ordered inside bins of their start, and
+bins know of those before them only how far they reach. An interval longer than a bin is in the bin of its start.
 """
 
 from __future__ import annotations
@@ -12,21 +10,31 @@ from pyspark.sql import functions as F
 BIN = 10_000_000
 
 
-def _merge(df: DataFrame, keys: list[str], reach: int, carry: dict[str, str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("new", F.when(before.isNull() | (F.col("start") > before + reach), 1).otherwise(0))
-    df = df.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    aggs = [F.expr(f"{f}({c})").alias(c) for c, f in carry.items()]
-    return df.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *aggs).drop("island")
-
-
 def merge_intervals(df: DataFrame, keys: list[str], pad: int = 0, carry: dict[str, str] | None = None, bin_size: int = BIN) -> DataFrame:
-    """Merge intervals (keys, start, end) of a key that start within end + pad; carry: column to aggregate."""
+    """Merge intervals (keys, start, end) of a key that start within end + pad; carry: column to aggregate.
+
+    What a bin needs of the bins before it is how far their intervals reach: one row a bin goes over a whole key. An island
+    opens in a bin where nothing before it reaches; islands are numbered in their bin, and those of later bins that an
+    earlier one reaches into get the number of the last one opened before.
+    """
     carry = carry or {}
-    rows = df.select(*keys, "start", "end", *carry)
-    local = _merge(rows.withColumn("bin", F.floor(F.col("start") / bin_size)), [*keys, "bin"], pad, carry)
-    return _merge(local.drop("bin"), keys, pad, carry)
+    rows = df.select(*keys, "start", "end", *carry).withColumn("__bin", F.floor(F.col("start") / bin_size))
+    sums = rows.groupBy(*keys, "__bin").agg(F.max("end").alias("__reach"))
+    over = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(sums.withColumn("__before", F.max("__reach").over(over)).drop("__reach"), [*keys, "__bin"])
+    w = Window.partitionBy(*keys, "__bin").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    met = F.greatest("__before", F.max("end").over(w))
+    rows = rows.withColumn("__new", F.when(met.isNull() | (F.col("start") > met + pad), 1).otherwise(0))
+    upto = Window.partitionBy(*keys, "__bin").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__k", F.sum("__new").over(upto))  # 0: belongs to the last island of the bins before
+    aggs = [F.expr(f"{f}({c})").alias(c) for c, f in carry.items()]
+    parts = rows.groupBy(*keys, "__bin", "__k").agg(F.min("start").alias("start"), F.max("end").alias("end"), *aggs)
+    last = parts.where("__k > 0").groupBy(*keys, "__bin").agg(F.max("__k").alias("__last"))
+    bins = sums.select(*keys, "__bin").join(last, [*keys, "__bin"], "left")
+    opened = F.last(F.when(F.col("__last").isNotNull(), F.struct("__bin", F.col("__last").alias("__k"))), ignorenulls=True).over(over)
+    parts = parts.join(bins.select(*keys, "__bin", opened.alias("__opened")), [*keys, "__bin"])
+    home = F.when(F.col("__k") > 0, F.struct("__bin", "__k")).otherwise(F.col("__opened"))
+    return parts.groupBy(*keys, home.alias("__island")).agg(F.min("start").alias("start"), F.max("end").alias("end"), *[F.expr(f"{f}({c})").alias(c) for c, f in carry.items()]).drop("__island")
 
 
 def adjacent_islands(df: DataFrame, keys: list[str], carry: dict[str, str] | None = None) -> DataFrame:

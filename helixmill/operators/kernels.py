@@ -7,10 +7,11 @@ concordant or discordant; a sequence edge runs from its reverse start to its for
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..solve import compare, copynumber, multiplicity, walks
@@ -78,16 +79,21 @@ def as_graph(pdf: pd.DataFrame) -> walks.Graph:
     return walks.Graph([nodes[k] for k in seq], [float(pdf["length"].iloc[k]) for k in seq], [nodes[k] for k in rest], [cn[k] for k in [*seq, *rest]], bound, _end_nodes(nodes, kinds))
 
 
-def path_constraints(paths: DataFrame, sequence: DataFrame) -> DataFrame:
+def path_constraints(paths: DataFrame, sequence: DataFrame, discordant: DataFrame | None = None) -> DataFrame:
     """(amplicon_id, path, EDGE, n): how often each path (amplicon_id, path as text) passes each edge, by its ends.
 
-    sequence: numbered sequence edges (readpaths.number_edges); c<k> joins e<k> to the piece that starts a base on.
+    sequence: numbered sequence edges (readpaths.number_edges); c<k> joins e<k> to the piece that starts a base on;
+    discordant: (amplicon_id, d_idx, a and b ends) of the edges d<k>.
     """
     c, name = F.col, lambda kind: F.concat(F.lit(kind), F.col("seq_idx").cast("string")).alias("edge")
     e = sequence.select("amplicon_id", name("e"), F.lit("sequence").alias("kind"), c("chrom").alias("chrom1"), c("start").alias("pos1"), F.lit("-").alias("strand1"), c("chrom").alias("chrom2"), c("end").alias("pos2"), F.lit("+").alias("strand2"))
     j = sequence.select("amplicon_id", name("c"), F.lit("concordant").alias("kind"), c("chrom").alias("chrom1"), c("end").alias("pos1"), F.lit("+").alias("strand1"), c("chrom").alias("chrom2"), (c("end") + 1).alias("pos2"), F.lit("-").alias("strand2"))
     passed = paths.select("amplicon_id", "path", F.explode(F.split("path", ",")).alias("edge"))
-    return passed.join(e.union(j), ["amplicon_id", "edge"], "left").groupBy("amplicon_id", "path", *EDGE).agg(F.count("*").alias("n"))
+    every = e.union(j)
+    if discordant is not None:
+        ends = [c(f"{x}_{side}").alias(f"{x}{k}") for k, side in ((1, "a"), (2, "b")) for x in ("chrom", "pos", "strand")]
+        every = every.union(discordant.select("amplicon_id", F.concat(F.lit("d"), c("d_idx").cast("string")), F.lit("discordant"), *ends))
+    return passed.join(every, ["amplicon_id", "edge"], "left").groupBy("amplicon_id", "path", *EDGE).agg(F.count("*").alias("n"))
 
 
 def _asked(pdf: pd.DataFrame, constraints: pd.DataFrame) -> list[Counter]:
@@ -163,34 +169,63 @@ def compare_cycles(cycles: DataFrame, truth: DataFrame, group: str = "amplicon_i
             out += parts if strand == "+" else parts[::-1]
         return out
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        read = lambda df: list(df.sort_values("ord")[["chrom", "start", "end", "strand"]].itertuples(index=False, name=None))
-        true = read(right.rename(columns=lambda c: c.removeprefix("true_"))) if len(right) else []
-        for cycle_id, one in left.groupby("cycle_id"):
-            own = read(one)
-            points: dict[str, set] = {}
-            for c, s, e, _ in [*true, *own]:
-                points.setdefault(c, set()).update((s, e))
-            ordered = {c: sorted(p) for c, p in points.items()}
-            a, b = cut(true, ordered), cut(own, ordered)
-            size = {p: p[2] - p[1] for p, _ in [*a, *b]}
-            na, nb = Counter(p for p, _ in a), Counter(p for p, _ in b)
-            total = sum(max(na[p], nb[p]) * size[p] for p in size)
-            common = set(na) & set(nb)
-            best = compare.cycle_overlap([x for x in a if x[0] in common], [x for x in b if x[0] in common], size)
-            rows.append((key[0], cycle_id, int(best), round(best / total, 9) if total else 0.0, round(compare.triplet_share(true, own), 9)))
-        return pd.DataFrame(rows, columns=[group, "cycle_id", "overlap", "overlap_share", "triplets"])
-
-    return cycles.groupBy(group).cogroup(truth.groupBy(f"true_{group}")).applyInPandas(run, f"{group} long, cycle_id long, overlap long, overlap_share double, triplets double")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = lambda xs: [(x["chrom"], x["start"], x["end"], x["strand"]) for x in xs] if xs is not None else []
+        for f in frames:
+            rows = []
+            for g, cycle_id, own, true in f.itertuples(index=False):
+                own, true = read(own), read(true)
+                points: dict[str, set] = {}
+                for c, s, e, _ in [*true, *own]:
+                    points.setdefault(c, set()).update((s, e))
+                ordered = {c: sorted(p) for c, p in points.items()}
+                a, b = cut(true, ordered), cut(own, ordered)
+                size = {p: p[2] - p[1] for p, _ in [*a, *b]}
+                na, nb = Counter(p for p, _ in a), Counter(p for p, _ in b)
+                total = sum(max(na[p], nb[p]) * size[p] for p in size)
+                common = set(na) & set(nb)
+                best = compare.cycle_overlap([x for x in a if x[0] in common], [x for x in b if x[0] in common], size)
+                rows.append((g, cycle_id, int(best), round(best / total, 9) if total else 0.0, round(compare.triplet_share(true, own), 9)))
+            yield pd.DataFrame(rows, columns=[group, "cycle_id", "overlap", "overlap_share", "triplets"])
+
+    listed = lambda df, prefix, *by: df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("ord", "chrom", "start", "end", "strand")]))).alias(f"{prefix}segments"))
+    own = listed(cycles, "", group, "cycle_id")  # a cycle is a row, so the cycles of a group are spread over tasks
+    both = own.join(listed(truth, "true_", f"true_{group}"), F.col(group) == F.col(f"true_{group}"), "left")
+    return both.select(group, "cycle_id", "segments", "true_segments").mapInPandas(run, f"{group} long, cycle_id long, overlap long, overlap_share double, triplets double")
 
 
 def legality(edges: DataFrame, segments: DataFrame) -> DataFrame:
     """Checks of walks (amplicon_id, walk, iscyclic, weight, ord, chrom, start, end, strand) in DataFrame operations: for each
-    sequence edge the copies that walks take, and whether they stay within its copy number."""
-    taken = segments.groupBy("amplicon_id", "chrom", "start", "end").agg(F.sum("weight").alias("taken"))
-    own = edges.where("kind = 'sequence'").select("amplicon_id", F.col("chrom1").alias("chrom"), F.col("pos1").alias("start"), F.col("pos2").alias("end"), "cn")
-    return own.join(taken, ["amplicon_id", "chrom", "start", "end"], "left").withColumn("taken", F.coalesce("taken", F.lit(0.0))).withColumn("legal", F.col("taken") <= F.col("cn") + 1e-3)
+    edge (EDGE) the copies that walks take, and whether they stay within its copy number. The joint between two segments is
+    the edge from the end where the first is left to the one where the next is entered; two edges between the same ends
+    share their copies."""
+    w = Window.partitionBy("amplicon_id", "walk").orderBy("ord")
+    forward = F.col("strand") == "+"
+    leave = F.struct("chrom", F.when(forward, F.col("end")).otherwise(F.col("start")).alias("pos"), "strand")
+    enter = F.struct("chrom", F.when(forward, F.col("start")).otherwise(F.col("end")).alias("pos"), F.translate("strand", "+-", "-+").alias("strand"))
+    rows = segments.withColumn("x", leave).withColumn("enter", enter)
+    to = F.coalesce(F.lead("enter").over(w), F.when(F.col("iscyclic"), F.first("enter").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    rows = rows.withColumn("y", to).where("y is not null")
+    pair = lambda x, y: (F.least(x, y).alias("low"), F.greatest(x, y).alias("high"))
+    joints = rows.select("amplicon_id", F.lit(False).alias("own"), *pair(F.col("x"), F.col("y")), "weight")
+    node = lambda c, p, s: F.struct(F.col(c).alias("chrom"), F.col(p).alias("pos"), s.alias("strand"))
+    passed = segments.select("amplicon_id", F.lit(True).alias("own"), *pair(node("chrom", "start", F.lit("-")), node("chrom", "end", F.lit("+"))), "weight")
+    taken = joints.union(passed).groupBy("amplicon_id", "own", "low", "high").agg(F.sum("weight").alias("taken"))
+    ends = pair(node("chrom1", "pos1", F.col("strand1")), node("chrom2", "pos2", F.col("strand2")))
+    named = edges.select("amplicon_id", *EDGE, "cn", (F.col("kind") == "sequence").alias("own"), *ends)
+    total = F.sum("cn").over(Window.partitionBy("amplicon_id", "own", "low", "high"))
+    out = named.withColumn("total", total).join(taken, ["amplicon_id", "own", "low", "high"], "left").withColumn("taken", F.coalesce("taken", F.lit(0.0)))
+    return out.select("amplicon_id", *EDGE, "cn", "taken", (F.col("taken") <= F.col("total") + 2e-3).alias("legal"))
+
+
+def satisfaction(edges: DataFrame, constraints: DataFrame) -> DataFrame:
+    """(amplicon_id, n_constraints, n_satisfied): how many path constraints the greedy walks of an amplicon satisfy."""
+
+    def run(pdf: pd.DataFrame, asked: list[Counter]) -> pd.DataFrame:
+        met = set().union(*(got for _, _, got in walks.greedy(as_graph(pdf), asked)))
+        return pd.DataFrame({"amplicon_id": [pdf["amplicon_id"].iloc[0]], "n_constraints": [len(asked)], "n_satisfied": [len(met)]})
+
+    return _by_amplicon(edges, constraints, run, "amplicon_id long, n_constraints int, n_satisfied int")
 
 
 def walk_passes(edges: DataFrame, constraints: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ A path is an array of strings: the edge types and numbers it passes, e.g. e1, c1
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,16 +55,17 @@ def maximal(supported: DataFrame, group: str = "amplicon_id") -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(text=[",".join(p) for p in pdf["path"]]).sort_values("text", kind="stable")
-        edges = {e: k for k, e in enumerate(sorted({e for p in pdf["path"] for e in p}))}
-        counts = np.zeros((len(pdf), len(edges)), dtype=np.int32)
-        for row, path in enumerate(pdf["path"]):
-            np.add.at(counts[row], [edges[e] for e in path], 1)
+        counts = [Counter(p) for p in pdf["path"]]
+        holders: dict[str, list[int]] = {}  # paths by edge, in order: a path can only be held by paths that have its rarest edge
+        for row, c in enumerate(counts):
+            for e in c:
+                holders.setdefault(e, []).append(row)
         support, alive = pdf["support"].to_numpy().copy(), np.ones(len(pdf), dtype=bool)
         for row in range(len(pdf) - 1, -1, -1):
-            holds = alive & (counts >= counts[row]).all(axis=1)
-            holds[row] = False
-            if holds.any():
-                parent = int(holds.argmax())
+            own = counts[row]
+            some = holders[min(own, key=lambda e: (len(holders[e]), e))]
+            parent = next((k for k in some if k != row and alive[k] and all(counts[k][e] >= n for e, n in own.items())), None)
+            if parent is not None:
                 support[parent] = max(support[parent], support[row])
                 alive[row] = False
         return pd.DataFrame({group: pdf[group].to_numpy()[alive], "path": pdf["text"].to_numpy()[alive], "support": support[alive]})

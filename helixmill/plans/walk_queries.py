@@ -33,7 +33,24 @@ def path_validity(spark, sf_dir):
     return read_paths(spark, sf_dir).agg(F.count("*").alias("reads"), F.sum(paths.is_valid(F.col("path")).cast("long")).alias("valid"))
 
 
-@query()
+#: Paths that no other one holds, edge by edge as often; of equal multisets the first in text order. A path that goes hands its
+#: support to the first path that holds it and is still there: an earlier one, or else a later one that stays.
+MAXIMAL = PATHS + """,
+own AS (SELECT o_orderkey AS read_id, o_custkey % 25 AS amplicon_id FROM orders),
+sup2 AS (SELECT amplicon_id, LEAST(string_split(p, ','), string_split(q, ',')) AS pa, COUNT(*) AS support FROM path JOIN own USING (read_id) WHERE len(string_split(p, ',')) >= 3 GROUP BY ALL),
+r AS (SELECT amplicon_id, array_to_string(pa, ',') AS path, pa, support, ROW_NUMBER() OVER (PARTITION BY amplicon_id ORDER BY array_to_string(pa, ',')) AS k FROM sup2),
+e AS (SELECT amplicon_id, k, edge, COUNT(*) AS n FROM (SELECT amplicon_id, k, UNNEST(pa) AS edge FROM r) GROUP BY ALL),
+z AS (SELECT amplicon_id, k, COUNT(*) AS kinds FROM e GROUP BY ALL),
+held AS (SELECT x.amplicon_id, x.k AS k, y.k AS h FROM e x JOIN e y ON x.amplicon_id = y.amplicon_id AND x.edge = y.edge AND x.k <> y.k AND y.n >= x.n
+         JOIN z ON z.amplicon_id = x.amplicon_id AND z.k = x.k GROUP BY x.amplicon_id, x.k, y.k HAVING COUNT(*) = MAX(z.kinds)),
+gone AS (SELECT DISTINCT a.amplicon_id, a.k FROM held a LEFT JOIN held b ON b.amplicon_id = a.amplicon_id AND b.k = a.h AND b.h = a.k WHERE b.k IS NULL OR a.h < a.k),
+parent AS (SELECT a.amplicon_id, a.k, COALESCE(MIN(a.h) FILTER (WHERE a.h < a.k), MIN(a.h) FILTER (WHERE g.k IS NULL)) AS h
+           FROM held a JOIN gone w ON w.amplicon_id = a.amplicon_id AND w.k = a.k LEFT JOIN gone g ON g.amplicon_id = a.amplicon_id AND g.k = a.h GROUP BY a.amplicon_id, a.k),
+up(amplicon_id, k, top) AS (SELECT amplicon_id, k, k FROM r UNION ALL SELECT u.amplicon_id, u.k, p.h FROM up u JOIN parent p ON p.amplicon_id = u.amplicon_id AND p.k = u.top)"""
+
+
+@query(f"""WITH RECURSIVE {MAXIMAL} SELECT f.amplicon_id, f.path, MAX(r.support) AS support FROM up JOIN r ON r.amplicon_id = up.amplicon_id AND r.k = up.k
+JOIN r f ON f.amplicon_id = up.amplicon_id AND f.k = up.top LEFT JOIN gone g ON g.amplicon_id = f.amplicon_id AND g.k = f.k WHERE g.k IS NULL GROUP BY ALL""")
 def path_maximal(spark, sf_dir):
     own = t.walk_info(spark, sf_dir).select(F.col("cycle_id").alias("read_id"), "amplicon_id")
     valid = read_paths(spark, sf_dir).where(paths.is_valid(F.col("path"))).join(own, "read_id")

@@ -306,3 +306,55 @@ def test_read_paths(spark):
     steps = spark.createDataFrame([(1, 1, 0, 1, 2, 4, "+", "+", 1, 2, 4, 5), (1, 1, 1, 2, 5, 3, "+", "-", 4, 5, 2, 3), (2, 1, 0, 1, 2, 2, "-", "+", 2, 4, 2, 3), (3, 1, 0, 1, 2, 4, "+", "+", 1, 2, 4, 4), (3, 1, 1, 1, 4, 4, "+", "+", 4, 4, 4, 4)], s)
     got = rows(readpaths.breakpoint_paths(steps).select("read_id", F.array_join("path", ",")))
     assert got == [(1, "e1,c1,e2,d1,e4,c4,e5,d2,e3,c2,e2"), (2, "e4,c3,e3,c2,e2,d1,e2,c2,e3")]
+
+
+def test_constraints_of_reads_along_edges_and_deletions(spark):
+    from helixmill.operators import kernels, readpaths
+
+    seq = readpaths.number_edges(spark.createDataFrame([(1, "c", k * 1000, k * 1000 + 999) for k in range(6)], "amplicon_id long, chrom string, start long, end long"))
+    d = spark.createDataFrame([(1, 1, "c", 1999, "+", "c", 4000, "-"), (1, 2, "c", 4999, "+", "c", 1000, "-")], "amplicon_id long, d_idx int, chrom_a string, pos_a long, strand_a string, chrom_b string, pos_b long, strand_b string")
+    gap = "gaps array<struct<next_start:bigint,curr_end:bigint>>"
+    rows = [
+        (1, 0, 100, "c", 200, 1990, "+", 60, 0.0, None), (1, 100, 200, "c", 4010, 5800, "+", 60, 0.0, None),  # e1 e2 | e5 e6
+        (2, 0, 100, "c", 5800, 4010, "-", 60, 0.0, None), (2, 100, 200, "c", 1990, 200, "-", 60, 0.0, None),  # the same the other way
+        (3, 0, 100, "c", 200, 5800, "+", 60, 0.0, [(4005, 1995)]),  # the same as one alignment with a deletion
+        (4, 0, 100, "c", 200, 1990, "+", 60, 0.0, None), (4, 100, 200, "c", 4010, 4990, "+", 60, 0.0, None), (4, 200, 300, "c", 1010, 2900, "+", 60, 0.0, None),  # along both edges
+        (5, 0, 200, "c", 200, 1990, "+", 60, 0.0, None), (5, 90, 200, "c", 4010, 4990, "+", 60, 0.0, None), (5, 50, 300, "c", 1010, 2900, "+", 60, 0.0, None),  # overlapping on the read
+        (6, 0, 100, "c", 100, 3900, "+", 60, 0.0, None), (7, 0, 100, "c", 100, 1900, "+", 60, 0.0, None),
+    ]
+    a = spark.createDataFrame(rows, f"{ALN}, {gap}")
+    got = {",".join(r.path): r.support for r in readpaths.constraints(a, seq, d).collect()}
+    assert got == {"e1,c1,e2,d1,e5,c5,e6": 3, "e1,c1,e2,d1,e5,d2,e2,c2,e3": 1, "e1,c1,e2,c2,e3,c3,e4": 1}
+    one = kernels.path_constraints(spark.createDataFrame([(1, "e2,d1,e5")], "amplicon_id long, path string"), seq, d)
+    assert sorted((r.kind, r.pos1, r.pos2, r.n) for r in one.collect()) == [("discordant", 1999, 4000, 1), ("sequence", 1000, 1999, 1), ("sequence", 4000, 4999, 1)]
+
+
+def test_legality_counts_every_edge(spark):
+    from helixmill.operators import kernels
+
+    e = [("sequence", "c", 0, "-", "c", 9, "+", 3.0), ("sequence", "c", 10, "-", "c", 19, "+", 2.0), ("concordant", "c", 9, "+", "c", 10, "-", 2.0), ("discordant", "c", 19, "+", "c", 0, "-", 1.0)]
+    edges = spark.createDataFrame([(1, *x) for x in e], "amplicon_id long, kind string, chrom1 string, pos1 long, strand1 string, chrom2 string, pos2 long, strand2 string, cn double")
+    w = spark.createDataFrame([(1, 1, True, 2.0, 1, "c", 0, 9, "+"), (1, 1, True, 2.0, 2, "c", 10, 19, "+"), (1, 2, False, 0.5, 1, "c", 9, 9, "-"), (1, 2, False, 0.5, 2, "c", 0, 9, "-")], "amplicon_id long, walk int, iscyclic boolean, weight double, ord int, chrom string, start long, end long, strand string")
+    got = {(r.kind, r.pos1): (r.taken, r.legal) for r in kernels.legality(edges, w).collect()}
+    assert got == {("sequence", 0): (2.5, True), ("sequence", 10): (2.0, True), ("concordant", 9): (2.0, True), ("discordant", 19): (2.0, False)}
+
+
+def test_islands_across_bins_against_a_plain_merge(spark):
+    pick = random.Random(11)
+    iv = [("k", s := pick.randint(0, 900), s + pick.choice([1, 5, 30, 200])) for _ in range(70)]
+    for pad in (0, 1, 7):
+        plain = []
+        for _, s, e in sorted(iv, key=lambda x: x[1:]):
+            if plain and s <= plain[-1][1] + pad:
+                plain[-1][1] = max(plain[-1][1], e)
+            else:
+                plain.append([s, e])
+        df = spark.createDataFrame(iv, "k string, start long, end long")
+        got = rows(islands.merge_intervals(df, ["k"], pad, bin_size=50, carry={}).select("start", "end"))
+        assert got == [tuple(x) for x in plain]
+
+
+def test_read_counts(spark):
+    i = spark.createDataFrame([("c", 10, 19), ("c", 100, 109)], "chrom string, start long, end long")
+    a = spark.createDataFrame([("c", 0, 10), ("c", 0, 11), ("c", 19, 30), ("c", 20, 30)], "chrom string, r_start long, r_end long")
+    assert rows(coverage.read_counts(i, a, ["chrom"], 8).select("start", "reads")) == [(10, 2), (100, 0)]

@@ -72,6 +72,23 @@ def brute_multiplicities(reads):
     return None
 
 
+def best_multiplicities(reads, k, score):
+    """The multiplicities of every cut into k valid clusters that reaches the score."""
+    order = sorted(range(len(reads)), key=lambda x: reads[x])
+    c, n, out = [float(reads[x]) for x in order], len(reads), []
+    for cut in itertools.combinations(range(1, n), k - 1):
+        ends = [0, *cut, n]
+        scores = [multiplicity.cluster_score(c[a:b], 5) for a, b in zip(ends, ends[1:])]
+        if all(scores) and abs(sum(x[1] for x in scores) + sum(np.log2(c[e]) - np.log2(c[e - 1]) for e in cut) - score) < 1e-9:
+            found = [0] * n
+            for (a, b), (size, _) in zip(zip(ends, ends[1:]), scores):
+                mean = sum(c[a : a + size]) / size
+                for x in range(a, b):
+                    found[order[x]] = 1 if x < a + size else max(2, int(np.floor(c[x] / mean + 0.5)))
+            out.append(found)
+    return out
+
+
 def test_multiplicities_use_fewest_clusters():
     assert multiplicity.multiplicities([]) == []
     assert multiplicity.multiplicities([5, 6, 7]) == [1, 1, 1]
@@ -81,7 +98,10 @@ def test_multiplicities_use_fewest_clusters():
         reads = [pick.randint(1, 60) for _ in range(pick.randint(1, 7))]
         found = multiplicity.multiplicities(reads)
         assert len(found) == len(reads) and all(1 <= m <= 5 for m in found)
-        assert brute_multiplicities(reads) is not None
+        if max(reads) >= 2 * min(reads):
+            n, score = brute_multiplicities(reads)
+            # the cut that was chosen: multiplicities fall where a new cluster begins, so its score is among the best
+            assert found in best_multiplicities(reads, n, score)
 
 
 def test_copy_numbers_balance():
