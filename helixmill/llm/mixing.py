@@ -175,14 +175,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, repeated as often as it takes them, with the columns of docs.
 
-    Whole documents only: one of which the cut leaves less than half is not taken, a blank one once. In a queue these are
-    the rows in front of some place, one place a round; so the plan comes back as one row for each source (its last row
+    Whole documents only: one of which the cut leaves less than half is not taken; a blank one is taken once, if it stands in
+    front of a document that is. In a queue these are the rows in front of some place, one place a round; so the plan comes back as one row for each source (its last row
     taken in every round) and not as a row for each document. Rows equal in id, source and text are taken alike. The order
     is that of the expected virtual time: the round, and the place of the digest in the queue.
     """
     rows = plan(docs, **options)
     place = F.struct("digest", "size", "key")
-    takes = lambda r: ((F.col("size") > 0) & (2 * F.col("given")[r] >= F.col("size"))) | (F.lit(r == 0) & (F.col("size") == 0))
+    takes = lambda r: (F.col("size") > 0) & (2 * F.col("given")[r] >= F.col("size"))
     rounds = len(_rounds(options.get("cap", 2.0)))
     ends = [F.max(F.when(takes(r), place)).alias(f"end{r}") for r in range(rounds)]
     last = rows.groupBy("source", "source_size", "target").agg(*ends, F.count("*").alias("__n"))

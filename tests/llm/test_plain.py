@@ -359,6 +359,20 @@ def test_mix_takes_repeats_alike(spark, monkeypatch):
     assert sorted(map(str, mixing.mix(df).collect())) == plain and sorted(map(str, mixing.mixed_documents(df).collect())) == whole
 
 
+def test_whole_documents_of_the_mix(spark):
+    pick = random.Random(77)
+    rows = [(k, " " if pick.random() < 0.3 else "w " * pick.randint(1, 60), pick.choice("abcd")) for k in range(160)]
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], DOCS)
+    copies = Counter(r.doc_id for r in mixing.mixed_documents(df).collect())
+    plan = mixing.plan(df).collect()
+    assert any(0 < g < r["size"] for r in plan for g in r.given) and any(not sum(r.given) for r in plan if r["size"])
+    for r in plan:
+        if r["size"]:
+            assert copies[r.id] == sum(2 * g >= r["size"] for g in r.given)
+        else:  # blank: once, if anything behind it in its queue is taken
+            assert copies[r.id] == any(copies[x.id] for x in plan if x.source == r.source and x["size"] and x.digest > r.digest)
+
+
 @pytest.mark.parametrize("cap", [1.0, 2.0, 3.0])
 def test_mix_keeps_to_its_targets(spark, cap):
     pick = random.Random(int(cap * 10))
