@@ -27,7 +27,8 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: tupl
     r = right
     for k in keys:
         r = r.withColumnRenamed(k, f"__{k}")
-    r = _binned(r.where(F.col(rs) <= F.col(re)), F.col(rs), F.col(re), bin_size, "__rbin")
+    # a row a bin isn't in the planner's estimate of a side, so neither side is broadcast by it
+    r = _binned(r.where(F.col(rs) <= F.col(re)), F.col(rs), F.col(re), bin_size, "__rbin").hint("merge")
     # the numbers are read by several branches, so they are written once
     marked = stored(left.withColumn("__id", F.monotonically_increasing_id()), "numbered") if how == "left" else left
     l = _binned(marked.where(F.col(ls) <= F.col(le)), F.col(ls), F.col(le), bin_size, "__lbin")  # noqa: E741

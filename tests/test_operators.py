@@ -358,3 +358,22 @@ def test_read_counts(spark):
     i = spark.createDataFrame([("c", 10, 19), ("c", 100, 109)], "chrom string, start long, end long")
     a = spark.createDataFrame([("c", 0, 10), ("c", 0, 11), ("c", 19, 30), ("c", 20, 30)], "chrom string, r_start long, r_end long")
     assert rows(coverage.read_counts(i, a, ["chrom"], 8).select("start", "reads")) == [(10, 2), (100, 0)]
+
+
+def exploded_broadcasts(df):
+    """Broadcasts in the plan, no shuffle between, of rows that an explode made: the planner doesn't know their number."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    found = []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(line) or "Exchange hashpartitioning" in lines[j]), len(lines))
+            found += [x for x in lines[i:below] if "Generate explode(sequence" in x]
+    return found
+
+
+def test_coverage_broadcasts_no_bins(spark, tmp_path):
+    spark.createDataFrame([("chr1", 0, 10_000_000)], "chrom string, start long, end long").write.parquet(f"{tmp_path}/i")
+    spark.createDataFrame([("chr1", 5, 25), ("chr1", 100, 300_000)], "chrom string, b_start long, b_end long").write.parquet(f"{tmp_path}/b")
+    got = coverage.raw_coverage(spark.read.parquet(f"{tmp_path}/i"), spark.read.parquet(f"{tmp_path}/b"), ["chrom"])
+    assert not exploded_broadcasts(got) and [r.bases for r in got.collect()] == [299_920]
