@@ -377,3 +377,11 @@ def test_coverage_broadcasts_no_bins(spark, tmp_path):
     spark.createDataFrame([("chr1", 5, 25), ("chr1", 100, 300_000)], "chrom string, b_start long, b_end long").write.parquet(f"{tmp_path}/b")
     got = coverage.raw_coverage(spark.read.parquet(f"{tmp_path}/i"), spark.read.parquet(f"{tmp_path}/b"), ["chrom"])
     assert not exploded_broadcasts(got) and [r.bases for r in got.collect()] == [299_920]
+
+
+def test_overlap_join_broadcasts_no_bins(spark, tmp_path):
+    spark.createDataFrame([("chr1", 5, 25), ("chr1", 100, 300_000), ("chr2", 0, 9)], "chrom string, a long, b long").write.parquet(f"{tmp_path}/l")
+    spark.createDataFrame([("chr1", 0, 10_000_000)], "chrom string, s long, e long").write.parquet(f"{tmp_path}/r")
+    for how, n in (("inner", 2), ("left", 3), ("left_semi", 2)):
+        got = joins.range_join(spark.read.parquet(f"{tmp_path}/l"), spark.read.parquet(f"{tmp_path}/r"), ["chrom"], ("a", "b"), ("s", "e"), how=how)
+        assert not exploded_broadcasts(got) and got.count() == n
