@@ -18,7 +18,10 @@ def merge_intervals(df: DataFrame, keys: list[str], pad: int = 0, carry: dict[st
     earlier one reaches into get the number of the last one opened before.
     """
     carry = carry or {}
-    rows = df.select(*keys, "start", "end", *carry).withColumn("__bin", F.floor(F.col("start") / bin_size))
+    rows = df.select(*keys, "start", "end", *carry)
+    if set(carry.values()) <= {"sum", "min", "max"}:  # copies become one row before any bin meets in a task
+        rows = rows.groupBy(*keys, "start", "end").agg(*[F.expr(f"{f}({c})").alias(c) for c, f in carry.items()]) if carry else rows.distinct()
+    rows = rows.withColumn("__bin", F.floor(F.col("start") / bin_size))
     sums = rows.groupBy(*keys, "__bin").agg(F.max("end").alias("__reach"))
     over = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(sums.withColumn("__before", F.max("__reach").over(over)).drop("__reach"), [*keys, "__bin"])

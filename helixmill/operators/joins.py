@@ -42,10 +42,9 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: tupl
     out = [*left.columns, *[c for c in right.columns if c not in keys]]
     if how == "inner":
         return l.join(r, on & once).select(*out)
-    # a left row is unmatched if it has no pair in any of its bins: keep the null row of its first bin only then
+    # a left row is unmatched if it has no pair in any of its bins
     pairs = l.join(r, on & once).select("__id", *out)
-    joined = l.where(F.col("__lbin") == F.floor(F.col(ls) / bin_size)).drop("__lbin")
-    rest = joined.join(l.join(r, on, "left_semi").select("__id").distinct(), "__id", "left_anti")
+    rest = marked.where(F.col(ls) <= F.col(le)).join(l.join(r, on, "left_semi").select("__id").distinct(), "__id", "left_anti")
     nulls = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right.columns if c not in keys]
     return pairs.select(*out).union(rest.select(*left.columns, *nulls))
 

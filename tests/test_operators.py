@@ -385,3 +385,16 @@ def test_overlap_join_broadcasts_no_bins(spark, tmp_path):
     for how, n in (("inner", 2), ("left", 3), ("left_semi", 2)):
         got = joins.range_join(spark.read.parquet(f"{tmp_path}/l"), spark.read.parquet(f"{tmp_path}/r"), ["chrom"], ("a", "b"), ("s", "e"), how=how)
         assert not exploded_broadcasts(got) and got.count() == n
+
+
+def test_subtract_broadcasts_no_bins_and_merges_copies_first(spark, tmp_path):
+    spark.createDataFrame([("a", "chr1", 0, 10_000_000), ("b", "chr2", 3, 9)], "id string, chrom string, start long, end long").write.parquet(f"{tmp_path}/l")
+    spark.createDataFrame([("chr1", 5, 25)] * 3 + [("chr1", 20, 300_000)], "chrom string, start long, end long").write.parquet(f"{tmp_path}/r")
+    right = spark.read.parquet(f"{tmp_path}/r")
+    got = islands.subtract(spark.read.parquet(f"{tmp_path}/l"), right, ["chrom"], "id")
+    assert not exploded_broadcasts(got)
+    assert rows(got) == [("a", "chr1", 0, 4), ("a", "chr1", 300_001, 10_000_000), ("b", "chr2", 3, 9)]
+    counted = islands.merge_intervals(right.withColumn("n", F.lit(1)), ["chrom"], 0, {"n": "sum"})
+    assert rows(counted) == [("chr1", 5, 300_000, 4)]
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan.split("Window")[-1]
