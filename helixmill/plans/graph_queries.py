@@ -90,7 +90,7 @@ def concordant_support(spark, sf_dir):
     b, _, _, cuts = parts(spark, sf_dir)
     joints = graph.concordant_edges(cuts).select("chrom", "pos1", "pos2").distinct()
     used = b.select("read_id", F.col("chrom_a").alias("chrom"), F.col("pos_a").alias("pos")).union(b.select("read_id", "chrom_b", "pos_b"))
-    return graph.concordant_support(joints, t.alignments(spark, sf_dir), used)
+    return graph.concordant_support(joints, t.all_alignments(spark, sf_dir), used)
 
 
 #: Amplicons are linked where consecutive orders of a customer fall into them, by supplier and customer numbers.

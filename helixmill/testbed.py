@@ -36,12 +36,17 @@ def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct local alignments of reads: ten 1 Mb bins on three chromosomes."""
+    return all_alignments(spark, sf_dir).distinct()
+
+
+def all_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with copies, for what copies don't change."""
     q, at = F.col("l_quantity").cast("long"), (F.col("l_suppkey") % 10) * 1_000_000
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("read_id"), (F.col("l_linenumber") * 5000).cast("long").alias("q_start"), (F.col("l_linenumber") * 5000 + q * 90).alias("q_end"),
         F.concat(F.lit("chr"), (1 + F.col("l_partkey") % 3).cast("string")).alias("chrom"), (at + q * 10).alias("r_start"), (at + q * 110).alias("r_end"),
         F.when(F.col("l_linestatus") == "F", "+").otherwise("-").alias("strand"), F.round(F.col("l_discount") * 600).cast("int").alias("mapq"), F.col("l_tax").alias("nm_rate"),
-    ).distinct()
+    )
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:

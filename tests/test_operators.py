@@ -398,3 +398,35 @@ def test_subtract_broadcasts_no_bins_and_merges_copies_first(spark, tmp_path):
     assert rows(counted) == [("chr1", 5, 300_000, 4)]
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan.split("Window")[-1]
+
+
+def test_concordant_support_makes_no_pairs(spark, monkeypatch):
+    pick = random.Random(3)
+    cover = []
+    for read in range(60):
+        at = pick.randrange(0, 900)
+        for _ in range(pick.randrange(1, 6)):  # stretches with gaps narrower and wider than the margin, and some overlap
+            end = at + pick.randrange(1, 150)
+            cover.append((read, "chr1" if read % 3 else "chr2", at, end))
+            at = end + pick.randrange(-20, 40)
+    cover += cover[:20] + [(0, "chr1", 5, 5)]
+    joints = [(c, p, p + d) for c in ("chr1", "chr2", "chr3") for p in range(0, 1300, 7) for d in ((1, 1, 5)[p % 3],)]
+    used = [(pick.randrange(60), pick.choice(["chr1", "chr2"]), pick.randrange(0, 1300)) for _ in range(3000)]
+    has = {(r, c, x) for r, c, a, b in cover for x in range(a, b)}
+    gone = set(used)
+
+    def count(c, p, q):
+        return sum(all((r, c, x) in has for x in (p, q, p - 11, q + 10)) and not {(r, c, p), (r, c, q)} & gone for r in range(60))
+
+    want = sorted((c, p, q, count(c, p, q)) for c, p, q in joints)
+    assert sum(w[3] for w in want) > 100
+    frames = [spark.createDataFrame(cover, "read_id long, chrom string, r_start long, r_end long"), spark.createDataFrame(used, "read_id long, chrom string, pos long")]
+    all_joints = spark.createDataFrame(joints, "chrom string, pos1 long, pos2 long")
+    assert rows(graph.concordant_support(all_joints, *frames, margin=10)) == want
+
+    def pairs(*_, **__):
+        raise AssertionError("pairs of joints and reads are made")
+
+    monkeypatch.setattr(graph, "range_join", pairs)
+    narrow = [w for w in want if w[2] == w[1] + 1]
+    assert rows(graph.concordant_support(all_joints.where("pos2 = pos1 + 1"), *frames, margin=10)) == narrow
