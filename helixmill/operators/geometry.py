@@ -19,9 +19,10 @@ COVERAGE_HEADROOM, ARC_PADDING, LEAST_APEX, MOST_APEX = 1.25, 0.05, 1.25, 2.0
 GENE_FONT, MOST_TEXT_SCALE = 12.0, 2.0
 
 
-def layout(intervals: DataFrame, plot: str, margin: float = MARGIN) -> DataFrame:
-    """Intervals side by side on an axis of 100 units, in genomic order, with x1 and x2; one group of rows a plot."""
-    w = Window.partitionBy(plot).orderBy(sort_key(F.col("chrom")), "start")
+def layout(intervals: DataFrame, plot: str, margin: float = MARGIN, order: list[str] | None = None) -> DataFrame:
+    """Intervals side by side on an axis of 100 units, with x1 and x2; one group of rows a plot. They are in genomic order, or
+    in that of the columns `order` and in genomic order where these are equal."""
+    w = Window.partitionBy(plot).orderBy(*(order or []), sort_key(F.col("chrom")), "start")
     length = F.col("end") - F.col("start") + 1
     total = F.sum(length).over(Window.partitionBy(plot))
     run = F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0))

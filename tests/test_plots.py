@@ -117,3 +117,19 @@ def test_touching_intervals_take_their_connections(spark):
     merged, links = components.merge_touching(i, c)
     assert sorted(tuple(r) for r in merged.collect()) == [(0, 5, "c", 0, 19), (2, 6, "c", 30, 39)]
     assert sorted((r.interval_a, r.interval_b, r.breakpoints) for r in links.collect()) == [(0, 0, [9]), (0, 2, [3, 4])]
+
+
+def test_plot_layout_orders_by_interval_as_its_sql(spark, tmp_path):
+    """On chromosomes of over 10,000 segments the numbers of intervals aren't in genomic order."""
+    import duckdb
+
+    from helixmill import catalog
+
+    seg = [(1, 15_000, 30), (1, 3, 40), (2, 1, 50), (2, 2, 50), (3, 0, 25), (3, 12_000, 10)]
+    parts = [(22 * idx + chrom - 1, size) for chrom, idx, size in seg]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got = catalog.queries()["plot_layout"](spark, str(tmp_path)).orderBy("interval_id").collect()
+    want = con.sql(f"select interval_id, x1, x2 from ({catalog.oracle_sql()['plot_layout']}) order by 1").fetchall()
+    assert [tuple(r) for r in got] == want and len(want) == 4
