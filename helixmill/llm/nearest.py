@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: inverted file with product-quantised residuals.
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample (the rows of smallest digest, FIT_ROWS
-and FIT_MOST at most where there are more lists); every row is indexed. There are as many lists as the square root of the
+and FIT_MOST at most where there are more lists), in a task: the driver gets only centroids and codebooks; every row is indexed. There are as many lists as the square root of the
 number of entries, LISTS at least where that leaves LIST_ROWS entries a list; many are fitted in two levels. A query visits its nearest lists, ranks what is in them by asymmetric distance tables (query
 against codes), and the best of these are ranked again by the exact distance of the original vectors.
 
@@ -84,6 +84,27 @@ class Index:
         self.cuts = [c for c in np.array_split(np.arange(sample.shape[1]), min(PIECES, sample.shape[1]))]
         self.books = [_kmeans(rest[:, c], CODES, 8) for c in self.cuts]
 
+    @classmethod
+    def fit(cls, sample: DataFrame, rows: int, lists: int) -> tuple:
+        """(centres, cuts, books) of at most `rows` rows (v) in their order, fitted in one task; only these come to the driver."""
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            x, n = None, 0
+            for f in frames:
+                if len(f):
+                    some = _matrix(f["v"])
+                    x = np.empty((rows, some.shape[1])) if x is None else x
+                    x[n : n + len(some)] = some
+                    n += len(some)
+            if n:
+                index = cls(x[:n], lists)
+                parts = [index.centres, *index.books]
+                yield pd.DataFrame({"at": range(len(parts)), "n": [len(p) for p in parts], "data": [np.ascontiguousarray(p, np.float64).tobytes() for p in parts]})
+
+        found = sorted(sample.select("v").mapInPandas(run, "at int, n int, data binary").collect())
+        centres, *books = [np.frombuffer(r.data, np.float64).reshape(r.n, -1) for r in found]
+        return centres, np.array_split(np.arange(centres.shape[1]), len(books)), books
+
     @classmethod
     def of(cls, parts: tuple) -> Index:
         """From (centres, cuts, books): only arrays are broadcast."""
@@ -165,11 +186,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
     n_entries = entries.count()
     n_lists = lists or max(1, min(n_entries // LIST_ROWS, max(LISTS, math.isqrt(n_entries)), FIT_MOST // LIST_ROWS))
     fit_rows = max(FIT_ROWS, min(FIT_MOST, LIST_ROWS * n_lists))
-    sample = digest_sample(entries.select("entry", "v"), F.xxhash64("entry"), fit_rows, "entry").select("v").collect()
-    fitted = Index(np.array([r.v for r in sample], dtype=np.float64), n_lists)
-    parts = spark.sparkContext.broadcast((fitted.centres, fitted.cuts, fitted.books))  # at most LISTS + CODES rows of a vector
-    n_lists = len(fitted.centres)
-    del fitted, sample
+    fitted = Index.fit(digest_sample(entries.select("entry", "v"), F.xxhash64("entry"), fit_rows, "entry"), fit_rows, n_lists)
+    parts = spark.sparkContext.broadcast(fitted)  # as many vectors as lists, and CODES
+    n_lists = len(fitted[0])
+    del fitted
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Index.of(parts.value)

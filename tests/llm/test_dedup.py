@@ -1,5 +1,6 @@
 """SimHash, embedding links and nearest neighbours against brute force."""
 
+import os
 import random
 
 import numpy as np
@@ -156,3 +157,23 @@ def test_nearest_visits_as_many_lists_as_recall_needs(spark):
         d[q] = np.inf
         hits += len(set(np.argsort(d, kind="stable")[:10].tolist()) & found[q])
     assert hits / 1200 >= 0.95
+
+
+def test_index_is_fitted_off_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 8))
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    sample = df.selectExpr("embedding AS v").coalesce(1)
+    centres, cuts, books = nearest.Index.fit(sample, 400, 12)
+    plain = nearest.Index(x, 12)
+    assert np.array_equal(centres, plain.centres) and all(np.array_equal(a, b) for a, b in zip(cuts, plain.cuts))
+    assert len(books) == len(plain.books) and all(np.array_equal(a, b) for a, b in zip(books, plain.books))
+
+    def here(*_):
+        raise AssertionError("the index is fitted on the driver")
+
+    pid = os.getpid()
+    real = nearest.Index.__init__
+    monkeypatch.setattr(nearest.Index, "__init__", lambda self, *a: here() if os.getpid() == pid else real(self, *a))
+    got = nearest.search(df, F.col("vec_id") % 50 == 0, k=3, probes=12, lists=12).collect()
+    assert len(got) == 8 * 3
