@@ -224,7 +224,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
         visits = some.mapInPandas(visit, f"list int, id long, v {some.schema['v'].dataType.simpleString()}")
         group = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
         visits = visits.withColumn("group", group).groupBy("list", "group").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("asks"))
-        work = visits.select("list", "group", "asks.id", "asks.v").join(blocks, "list").repartition(tasks(spark), "list", "group", "block")
+        # a query's visits aren't in the planner's estimate, so neither this nor the vectors below are broadcast by it
+        work = visits.select("list", "group", "asks.id", "asks.v").join(blocks.hint("merge"), "list").repartition(tasks(spark), "list", "group", "block")
 
         def rank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = Index.of(parts.value)
@@ -261,7 +262,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
         return best.select("id", F.explode("entry").alias("entry"))
 
     def ranked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(asked.withColumnRenamed("v", "q"), "id").join(entries, "entry")
+        both = pairs.join(asked.withColumnRenamed("v", "q"), "id").join(entries.hint("merge"), "entry")
         square = F.aggregate(F.zip_with("q", "v", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
         each = both.select("id", F.sqrt(square).alias("score"), F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("id"))
         return each.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
