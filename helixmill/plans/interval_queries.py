@@ -28,9 +28,11 @@ def alignment_segment_hash(spark, sf_dir):
 SELECT s.chrom, s.seg_idx, COUNT(*) AS n, CAST(SUM(CASE WHEN a.r_start >= s.seg_start AND a.r_end <= s.seg_end THEN 1 ELSE 0 END) AS BIGINT) AS inside
 FROM aln a JOIN seg s ON a.chrom = s.chrom AND a.r_start <= s.seg_end AND a.r_end >= s.seg_start GROUP BY s.chrom, s.seg_idx""")
 def interval_overlap_join(spark, sf_dir):
-    met = joins.range_join(t.alignments(spark, sf_dir), _segments(spark, sf_dir), ["chrom"], ("r_start", "r_end"), ("seg_start", "seg_end"))
-    inside = F.sum(((F.col("r_start") >= F.col("seg_start")) & (F.col("r_end") <= F.col("seg_end"))).cast("long"))
-    return met.groupBy("chrom", "seg_idx").agg(F.count("*").alias("n"), inside.alias("inside"))
+    # alignments of one interval meet a segment as one row with their number, so no bin has a row for each of them
+    one = t.alignments(spark, sf_dir).groupBy("chrom", "r_start", "r_end").agg(F.count("*").alias("copies"))
+    met = joins.range_join(one, _segments(spark, sf_dir), ["chrom"], ("r_start", "r_end"), ("seg_start", "seg_end"))
+    inside = F.when((F.col("r_start") >= F.col("seg_start")) & (F.col("r_end") <= F.col("seg_end")), F.col("copies")).otherwise(0)
+    return met.groupBy("chrom", "seg_idx").agg(F.sum("copies").alias("n"), F.sum(inside).alias("inside"))
 
 
 @query(f"""WITH {t.SEGMENTS}, {t.ALIGNMENTS}, b AS (SELECT DISTINCT chrom, r_start, r_end FROM aln WHERE mapq >= 20)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helixmill.functions import chrom, cigar, intervals
 from helixmill.operators import clustering, components, coverage, cycles, expand, graph, islands, joins, paths, reads, scoring, seeding
 from helixmill.operators import geometry
+from helixmill.plans import interval_queries
 
 
 def rows(df, *order):
@@ -387,6 +388,23 @@ def test_overlap_join_broadcasts_no_bins(spark, tmp_path):
         assert not exploded_broadcasts(got) and got.count() == n
 
 
+def test_overlap_query_meets_copies_once_and_broadcasts_no_bins(spark, tmp_path, monkeypatch):
+    part = [(p, "x", 5) for p in (0, 0, 1, 22)] + [(None, "x", 5)]
+    part = spark.createDataFrame(part, "p_partkey long, p_name string, p_size int")
+    # reads 0 to 39 on one interval of chr1, each written twice; one more interval there, one on chr2, one where no segment is
+    line = [(r, 0, 0, 1, 10.0, 0.05, 0.0, "F") for r in range(40)] * 2 + [(0, 0, 1, 2, 7.0, 0.05, 0.0, "O"), (1, 1, 0, 1, 1.0, 0.05, 0.0, "F"), (2, 2, 0, 1, 1.0, 0.05, 0.0, "F")]
+    line += [(3, None, 0, 1, 10.0, 0.05, 0.0, "F"), (4, 0, None, 1, 10.0, 0.05, 0.0, "F")]
+    line = spark.createDataFrame(line, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_linestatus string")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    met, join = [], joins.range_join
+    monkeypatch.setattr(joins, "range_join", lambda left, *a, **b: met.append(left.where("chrom = 'chr1' and r_start = 100").count()) or join(left, *a, **b))
+    got = interval_queries.interval_overlap_join(spark, str(tmp_path))
+    assert not exploded_broadcasts(got)
+    assert rows(got) == [("chr1", 0, 80, 80), ("chr1", 1, 1, 1), ("chr2", 0, 1, 1)]
+    assert met == [1]
+
+
 def test_subtract_broadcasts_no_bins_and_merges_copies_first(spark, tmp_path):
     spark.createDataFrame([("a", "chr1", 0, 10_000_000), ("b", "chr2", 3, 9)], "id string, chrom string, start long, end long").write.parquet(f"{tmp_path}/l")
     spark.createDataFrame([("chr1", 5, 25)] * 3 + [("chr1", 20, 300_000)], "chrom string, start long, end long").write.parquet(f"{tmp_path}/r")
